@@ -1,0 +1 @@
+"""SOQL text -> syntax tree -> DataFrame plan."""
