@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 
-#: Texts longer than this are encoded in parts that begin at a blank.
-PART = 1 << 20
+#: Printable Latin letters and marks up to U+024F, but for the dotted capital I.
+_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*").fullmatch
 
 
 def default_tokenizer() -> str:
@@ -19,46 +22,102 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable ones for themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids by a ``tokenizers`` file. The word tokenizer drops white space, so a
-    very long text gives the same ids when it is encoded in parts that begin
-    at a blank; that bounds memory."""
+    """Ids by the word tokenizer's file.
+
+    White space separates its words and nothing reaches across it, so the ids
+    of a text are those of its words in a row. Words seen before come from a
+    dictionary of bounded size; new ones of Latin letters are normalised and
+    split here and only the merges are left to the library; all others, and
+    all words of tokenizers of another kind, go through the library whole.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(self.tokenizer.to_str())
+        splits = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        steps = [x["type"] for x in (kind.get("normalizer") or {}).get("normalizers", [])]
+        self.simple = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True
+        if self.simple:
+            self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
+            self.merge = self.tokenizer.model.tokenize
+            self.letters = _byte_letters()
+        self.words: dict[bytes, list[int]] = {}
+        self.parts: dict[str, list[int]] = {}
+        self.limit = limit
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 128):
-            part = [t or "" for t in texts[at : at + 128]]
-            short = [t if len(t) <= PART else "" for t in part]
-            for t, e in zip(part, self.tokenizer.encode_batch_fast(short, add_special_tokens=False), strict=True):
-                yield np.array(e.ids, dtype=np.uint32) if len(t) <= PART else self.long(t)
-
-    def long(self, text: str) -> np.ndarray:
-        found, at = [], 0
-        while at < len(text):
-            end = len(text) if len(text) - at <= PART else text.rfind(" ", at + 1, at + PART)
-            if end < 0:
-                end = text.find(" ", at + PART)
-                end = len(text) if end < 0 else end
-            found.append(np.array(self.tokenizer.encode(text[at:end], add_special_tokens=False).ids, dtype=np.uint32))
-            at = end
-        return np.concatenate(found)
+        if not self.simple:
+            for at in range(0, len(texts), 128):
+                for e in self.tokenizer.encode_batch_fast([t or "" for t in texts[at : at + 128]], add_special_tokens=False):
+                    yield np.array(e.ids, dtype=np.uint32)
+            return
+        known = self.words
+        for t in texts:
+            ids: list[int] = []
+            for w in (t or "").encode("utf-8", "surrogatepass").split():
+                try:
+                    ids += known[w]
+                except KeyError:
+                    ids += self.new(w)
+            yield np.array(ids, dtype=np.uint32)
+
+    def new(self, word: bytes) -> list[int]:
+        if len(self.words) >= self.limit:
+            self.words.clear()
+        text = word.decode("utf-8", "replace")
+        if self.latin(text):
+            found: list[int] = []
+            for part in self.split(text.lower()):
+                ids = self.parts.get(part)
+                if ids is None:
+                    if len(self.parts) >= self.limit:
+                        self.parts.clear()
+                    shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                    ids = self.parts[part] = [x.id for x in self.merge(shown)]
+                found += ids
+        else:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        if len(word) <= 64:
+            self.words[word] = found
+        return found
+
+    @staticmethod
+    def latin(text: str) -> bool:
+        """Whether lower-casing letter by letter is str.lower, nothing is to be composed, and there are no controls or marks of special tokens."""
+        return _PLAIN(text) is not None and "<|" not in text
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that its dictionaries serve all tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def lengths(batches: Iterable[pa.RecordBatch], path: str, extra: int) -> Iterator[pa.RecordBatch]:
     """A column ``length`` for each text: its ids plus ``extra``."""
-    encode = Encoder(path)
+    encode = encoder(path)
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array([len(x) + extra for x in encode(b.column(0).to_pylist())], pa.int64())], ["length"])
 
 
 def pieces(batches: Iterable[pa.RecordBatch], path: str, end_id: int, limit: int) -> Iterator[pa.RecordBatch]:
     """A row for each piece of at most ``limit`` ids of each text."""
-    encode = Encoder(path)
+    encode = encoder(path)
     for b in batches:
         rows: list[tuple] = []
         for key, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):

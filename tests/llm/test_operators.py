@@ -349,3 +349,14 @@ def test_empty_tables(spark, docs):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_runs.extract(pages).count() == 0
     assert url_cascade.judge_urls(pages, RULES).count() == 0
+
+
+def test_encoder_gives_the_librarys_ids():
+    rng = random.Random(1)
+    letters = "abcXYZ 019'’.,!?#<>|&%éÀßñŒĲıİſŁ́ \u0085\x1c\n\t日本Σσςµ²½Ⅳ😀​'S'll'Re "
+    texts_ = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(2000)] + ["<|endoftext|> a", "don't WE'LL I'M x's'T", "a" * 3000, None, ""]
+    encode = tokens.Encoder(tokens.default_tokenizer(), limit=300)
+    assert encode.simple
+    for _ in range(2):
+        for t, x in zip(texts_, encode(texts_), strict=True):
+            assert encode.tokenizer.encode(t or "", add_special_tokens=False).ids == x.tolist()
