@@ -122,6 +122,10 @@ _PARENT = ["(\\w+)\\s+with\\s+(?:their\\s+)?(\\w+)\\s+(?:name|id|details?|info(?
 _CHILD = ["(\\w+)\\s+that\\s+have\\s+(\\w+s)\\b", "(\\w+)\\s+with\\s+(?:their\\s+)?(?:all\\s+)?(\\w+s)\\b(?!\\s+(?:name|id|details?))", "(\\w+)\\s+and\\s+(?:their\\s+)?(\\w+s)\\b(?!\\s+(?:name|id))", "(\\w+)\\s+(?:including|showing)\\s+(?:all\\s+)?(?:related\\s+)?(\\w+s)\\b"]
 
 
+def _intent_of(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), F.initcap(x["a"]).alias("source"), F.initcap(x["b"]).alias("target"))
+
+
 def relationship_intents(q: Column) -> Column:
     """Distinct (kind, source, target) that the wording shows."""
     low = F.lower(q)
@@ -129,7 +133,7 @@ def relationship_intents(q: Column) -> Column:
     for kind, patterns in (("parent_lookup", _PARENT), ("child_subquery", _CHILD)):
         for p in patterns:
             pairs = F.arrays_zip(F.regexp_extract_all(low, F.lit(p), 1).alias("a"), F.regexp_extract_all(low, F.lit(p), 2).alias("b"))
-            parts.append(F.transform(pairs, lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), F.initcap(x["a"]).alias("source"), F.initcap(x["b"]).alias("target"))))
+            parts.append(F.transform(pairs, _intent_of(kind)))
     return F.array_distinct(F.filter(F.concat(*parts), lambda x: x["source"] != x["target"]))
 
 

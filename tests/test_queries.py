@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables; a few operators on small fixtures."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -27,7 +29,9 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def one(v):
         if not isinstance(v, (list, dict)) and pd.isna(v):
             return "null"
-        return str(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) or getattr(getattr(v, "dtype", None), "kind", "") in "iuf" and v.dtype.kind != "b" else str(v)
+        if str(v) in ("True", "False") or not isinstance(v, numbers.Number):
+            return str(v)
+        return str(round(float(v), 6))
 
     return sorted(tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
