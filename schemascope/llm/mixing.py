@@ -124,25 +124,13 @@ def fit_rates(scored: DataFrame, targets: list[float], rounds: int = 12, toleran
     return best[1], best[2], list(targets)
 
 
-def _rated(base: DataFrame, docs: DataFrame, labelled: DataFrame, weights, totals, id_col, text_col, domain_col, rounds, most_labelled) -> tuple[DataFrame, list[str], Column]:
-    """base with _tokens and _p, the domains, and the fitted rate over them."""
-    model = fit_domains(docs, labelled, id_col, text_col, domain_col, most_labelled)
-    domains = model[0]
-    scored = posteriors(base, model, text_col)
-    if not domains:
-        return scored, [], F.lit(1.0)
-    figures = stage(scored.select("_tokens", "_p"), "scored")
-    k = len(domains)
-    row = figures.agg(*[F.sum(F.col("_tokens") * F.element_at("_p", i + 1)).alias(f"s{i}") for i in range(k)]).first()
+def _goals(figures: DataFrame, domains: list[str], weights: Mapping[str, float] | None, totals: Mapping[str, float] | None) -> list[float]:
+    row = figures.agg(*[F.sum(F.col("_tokens") * F.element_at("_p", i + 1)).alias(f"s{i}") for i in range(len(domains))]).first()
     have = {d: float(row[f"s{i}"] or 0) for i, d in enumerate(domains)}
     every = sum(have.values())
     if weights is not None:
-        goal = [weights[d] * every if d in weights else have[d] for d in domains]
-    else:
-        goal = [(totals or {}).get(d, 1.0) * have[d] for d in domains]
-    rate, _, _ = fit_rates(figures, goal, rounds)
-    release(figures)
-    return scored, domains, rate
+        return [weights[d] * every if d in weights else have[d] for d in domains]
+    return [(totals or {}).get(d, 1.0) * have[d] for d in domains]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, totals: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", rounds: int = 12, most_labelled: int = 20_000) -> DataFrame:
@@ -153,17 +141,30 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | Non
     that neither names keep what they have. Null texts have no tokens and keep
     rate 1. Repeated rows are rated alike. With no labelled document, or an
     empty table, every rate is 1 and there is no p_ column. Other columns are
-    ignored.
+    ignored. Texts are read for the fit and once to be scored; the rounds read
+    token counts and posteriors only.
     """
+    model = fit_domains(docs, labelled, id_col, text_col, domain_col, most_labelled)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored, domains, rate = _rated(base, docs, labelled, weights, totals, id_col, text_col, domain_col, rounds, most_labelled) if id_col == "doc_id" and text_col == "text" else _rated(base, base, labelled.withColumnRenamed(id_col, "doc_id"), weights, totals, "doc_id", "text", domain_col, rounds, most_labelled)
-    return scored.select("doc_id", F.col("_tokens").alias("tokens"), *[F.element_at("_p", i + 1).alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"))
+    scored = stage(posteriors(base, model).select("doc_id", "_tokens", "_p"), "scored")
+    rate = fit_rates(scored, _goals(scored, model[0], weights, totals), rounds)[0] if model[0] else F.lit(1.0)
+    return scored.select("doc_id", F.col("_tokens").alias("tokens"), *[F.element_at("_p", i + 1).alias(f"p_{d}") for i, d in enumerate(model[0])], rate.alias("rate"))
 
 
 def mix_rows(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, totals: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", rounds: int = 12, most_labelled: int = 20_000) -> DataFrame:
-    """The rows of docs with their ``rate``; a column of that name is replaced."""
+    """The rows of docs with their ``rate``; a column of that name is replaced.
+
+    As ``mix``, but the texts are scored again on the way out rather than
+    written or joined.
+    """
+    model = fit_domains(docs, labelled, id_col, text_col, domain_col, most_labelled)
     base = docs.select(*[c for c in docs.columns if c.lower() != "rate"])
-    scored, _, rate = _rated(base, docs, labelled, weights, totals, id_col, text_col, domain_col, rounds, most_labelled)
+    if not model[0]:
+        return base.withColumn("rate", F.lit(1.0))
+    scored = posteriors(base, model, text_col)
+    figures = stage(scored.select("_tokens", "_p"), "scored")
+    rate = fit_rates(figures, _goals(figures, model[0], weights, totals), rounds)[0]
+    release(figures)
     return scored.withColumn("rate", rate).drop("_tokens", "_p")
 
 
