@@ -39,7 +39,7 @@ def features(text: Column) -> Column:
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", most_labelled: int = 20_000, vocabulary: int = 256) -> tuple[list[str], dict[str, list[float]], list[float]]:
-    """(domains, word -> log probability by domain, log priors).
+    """(domains, word -> log odds by domain, start by domain).
 
     ``labelled`` has id_col and domain_col; at most about ``most_labelled`` of
     its rows, picked by hash, are used. The words kept are the ``vocabulary``
@@ -65,8 +65,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
 
     gain = sum((cell(F.col(f"n{k}"), df * sizes[d] / n) + cell(sizes[d] - F.col(f"n{k}"), (n - df) * sizes[d] / n) for k, d in enumerate(domains)), F.lit(0.0))
     best = counts.where((df >= 3) & (df < n)).orderBy(gain.desc(), "word").limit(vocabulary).collect()
-    weights = {r["word"]: [math.log((r[f"n{k}"] + 0.5) / (sizes[d] + 1)) for k, d in enumerate(domains)] for r in best}
-    return domains, weights, [math.log(sizes[d] / n) for d in domains]
+    chance = {r["word"]: [(r[f"n{k}"] + 0.5) / (sizes[d] + 1) for k, d in enumerate(domains)] for r in best}
+    # a word that is missing tells too: that goes into the start, and is taken back where the word is there
+    start = [math.log(sizes[d] / n) + sum(math.log(1 - p[k]) for p in chance.values()) for k, d in enumerate(domains)]
+    return domains, {w: [math.log(x / (1 - x)) for x in p] for w, p in chance.items()}, start
 
 
 def posteriors(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
