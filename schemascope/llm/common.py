@@ -52,6 +52,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows of a few
+    numbers each; a larger one is left to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def release(*frames: DataFrame) -> None:
     """Delete staged tables that nothing lazy reads any more."""
     for df in frames:
@@ -138,6 +144,16 @@ class Words:
         return np.array([known[w] for w in words], dtype=np.uint64)
 
 
+_WORDS: list[Words] = []
+
+
+def known_words() -> Words:
+    """One dictionary for each worker process."""
+    if not _WORDS:
+        _WORDS.append(Words(1 << 19))
+    return _WORDS[0]
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word shingles, repeats included. Fewer than k words:
     one shingle, the whole sequence; no words: none."""
