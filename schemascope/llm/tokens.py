@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -22,6 +23,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks that end a word and are a part of their own.
+_STOPS = frozenset({b".", b",", b";", b":", b"!", b"?"})
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte: printable ones for themselves, the rest from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -52,8 +61,8 @@ class Encoder:
             self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
             self.merge = self.tokenizer.model.tokenize
             self.letters = _byte_letters()
-        self.words: dict[bytes, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.limit = limit
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -62,36 +71,44 @@ class Encoder:
                 for e in self.tokenizer.encode_batch_fast([t or "" for t in texts[at : at + 128]], add_special_tokens=False):
                     yield np.array(e.ids, dtype=np.uint32)
             return
-        known = self.words
+        get, new = self.words.get, self.new
         for t in texts:
-            ids: list[int] = []
-            for w in (t or "").encode("utf-8", "surrogatepass").split():
-                try:
-                    ids += known[w]
-                except KeyError:
-                    ids += self.new(w)
-            yield np.array(ids, dtype=np.uint32)
-
-    def new(self, word: bytes) -> list[int]:
+            words = (t or "").encode("utf-8", "surrogatepass").split()
+            found = list(map(get, words))
+            try:
+                data = b"".join(found)
+            except TypeError:  # some are new
+                data = b"".join([new(w) if x is None else x for w, x in zip(words, found, strict=True)])
+            yield np.frombuffer(data, dtype="<u4")
+
+    def new(self, word: bytes) -> bytes:
+        """The ids of a word, packed."""
+        found = self.words.get(word)
+        if found is not None:
+            return found
         if len(self.words) >= self.limit:
             self.words.clear()
-        text = word.decode("utf-8", "replace")
-        if self.latin(text):
-            found: list[int] = []
-            for part in self.split(text.lower()):
-                ids = self.parts.get(part)
-                if ids is None:
-                    if len(self.parts) >= self.limit:
-                        self.parts.clear()
-                    shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-                    ids = self.parts[part] = [x.id for x in self.merge(shown)]
-                found += ids
+        if word.isalpha():  # ASCII letters only
+            found = self.part(word.lower().decode())
+        elif word[:-1].isalpha() and word[-1:] in _STOPS:
+            found = self.part(word[:-1].lower().decode()) + self.part(word[-1:].decode())
+        elif self.latin(text := word.decode("utf-8", "replace")):
+            found = b"".join(map(self.part, self.split(text.lower())))
         else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(word) <= 64:
             self.words[word] = found
         return found
 
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= self.limit:
+                self.parts.clear()
+            shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            ids = self.parts[part] = _packed([x.id for x in self.merge(shown)])
+        return ids
+
     @staticmethod
     def latin(text: str) -> bool:
         """Whether lower-casing letter by letter is str.lower, nothing is to be composed, and there are no controls or marks of special tokens."""
