@@ -360,3 +360,24 @@ def test_encoder_gives_the_librarys_ids():
     for _ in range(2):
         for t, x in zip(texts_, encode(texts_), strict=True):
             assert encode.tokenizer.encode(t or "", add_special_tokens=False).ids == x.tolist()
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_filters_lose_no_link(percent):
+    rng = np.random.default_rng(7)
+    levels = rng.integers(0, 3, 1 << jaccard.SKETCH).astype(np.uint8)
+    links = 0
+    for _ in range(300):
+        base = rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64)
+        other = np.concatenate([base[rng.random(len(base)) > rng.choice([0.0, 0.05, 0.1])], rng.integers(0, 2**63, rng.integers(0, 8)).astype(np.uint64)])
+        x, y = np.unique(base), np.unique(other)
+        both = len(np.intersect1d(x, y))
+        if not len(y) or (100 + percent) * both < percent * (len(x) + len(y)):
+            continue
+        links += 1
+        for order in range(3):
+            a, b = (jaccard._keyed(z, levels, percent, order) for z in (x, y))
+            assert jaccard.may_link(a[1], b[1], len(x), len(y), percent)
+            p, q = next((int(np.flatnonzero(a[0] == t)[0]), int(np.flatnonzero(b[0] == t)[0])) for t in a[0] if t in b[0])
+            assert (100 + percent) * (1 + min(len(x) - p - 1, len(y) - q - 1)) >= percent * (len(x) + len(y))
+    assert links > 50
