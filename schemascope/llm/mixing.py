@@ -127,20 +127,25 @@ def fit_rates(scored: DataFrame, targets: list[float], rounds: int = 12, toleran
 
 
 def _goals(figures: DataFrame, domains: list[str], weights: Mapping[str, float] | None, totals: Mapping[str, float] | None) -> list[float]:
-    row = figures.agg(*[F.sum(F.col("_tokens") * F.element_at("_p", i + 1)).alias(f"s{i}") for i in range(len(domains))]).first()
+    # a factor goes with a document's likeliest domain: rates equal to the factors meet these goals, so no other document has to pay for them
+    main = F.array_position("_p", F.array_max("_p"))
+    factor = F.element_at(F.array(*[F.lit(float((totals or {}).get(d, 1.0))) for d in domains]), main.cast("int"))
+    share = [F.col("_tokens") * F.element_at("_p", i + 1) for i in range(len(domains))]
+    row = figures.agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(share)], *[F.sum(factor * x).alias(f"t{i}") for i, x in enumerate(share)]).first()
     have = {d: float(row[f"s{i}"] or 0) for i, d in enumerate(domains)}
     every = sum(have.values())
     if weights is not None:
         return [weights[d] * every if d in weights else have[d] for d in domains]
-    return [(totals or {}).get(d, 1.0) * have[d] for d in domains]
+    return [float(row[f"t{i}"] or 0) for i in range(len(domains))]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, totals: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", rounds: int = 12, most_labelled: int = 20_000) -> DataFrame:
     """doc_id, tokens, p_<domain> for each domain, rate: one row per input row.
 
     ``weights``: each domain's share of the corpus's own number of tokens;
-    ``totals``: a factor on each domain's own expected tokens instead. Domains
-    that neither names keep what they have. Null texts have no tokens and keep
+    ``totals``: a factor for each domain instead; the targets are the expected
+    tokens left when every document has the factor of its likeliest domain.
+    Domains that neither names keep what they have. Null texts have no tokens and keep
     rate 1. Repeated rows are rated alike. With no labelled document, or an
     empty table, every rate is 1 and there is no p_ column. Other columns are
     ignored. Texts are read for the fit and once to be scored; the rounds read

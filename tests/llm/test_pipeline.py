@@ -54,3 +54,17 @@ def test_sql_gives_the_same_rows(spark, name):
     cols = [d[0] for d in want.description]
     got = queries.QUERIES[name](spark, SF).select(*cols).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+def test_mixing_stage_keeps_clean_documents_and_drops_toxic_ones(spark, tmp_path):
+    sf = "/root/testdata/sf0.1"
+    corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).write.parquet(str(tmp_path / "kept"))
+    docs = spark.read.parquet(str(tmp_path / "kept"))
+    labels = queries.domain_labels(spark.read.parquet(f"{sf}/labels.parquet"))
+    mixed = corpus_pipeline.mixing_to_targets(spark, docs, sf).select("doc_id").toPandas().doc_id
+    assert mixed.is_unique
+    mixed = set(mixed)
+    for domain, least, most in (("clean", 0.99, 1.0), ("toxic", 0.0, 0.05)):
+        ids = [r.doc_id for r in docs.join(labels.where(labels.domain == domain), "doc_id", "left_semi").select("doc_id").collect()]
+        assert len(ids) > 100
+        assert least <= sum(i in mixed for i in ids) / len(ids) <= most, domain
