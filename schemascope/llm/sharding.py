@@ -2,11 +2,14 @@
 
 Documents with the same link key (equal texts by default) should share a shard.
 Interchangeable documents are counted together: a unit is a link key and a
-salt, so that a key with very many documents is many units. Each round is a
-Spark join that moves units to the shard where most of their neighbours are,
-as far as quotas between shards allow; the quotas come from an 8 x 8 table of
-wishes. Documents without a neighbour fill the shards up in the end, so counts
-differ by one at most.
+salt, so that a key with very many documents is many units. Keys of more than
+an eighth of a shard are seated first, on as few shards as they need. Then each
+round is a Spark join that moves the units of a cut key to one shard, as far as
+quotas between shards allow; the quotas come from an 8 x 8 table of wishes. In
+one round that is the shard of a leading unit, which lets full shards swap, as
+about as much wishes to leave a shard as to enter it; in the next it is the
+shard with most units among those with room for the rest. Documents without a neighbour fill
+the shards up in the end, so counts differ by one at most.
 """
 
 from __future__ import annotations
@@ -32,17 +35,59 @@ def quotas(wish: np.ndarray, load: np.ndarray, cap: np.ndarray, rounds: int = 20
     return np.floor(x)
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", link_key=None, rounds: int = 3, salts: int = 256, buckets: int = 1024) -> DataFrame:
+def seats(units: list[tuple], cap: np.ndarray) -> list[tuple]:
+    """(key, salt, shard) for the units (key, salt, n) of the large keys: a key
+    goes where it just fits, or else fills the roomiest shards one by one."""
+    room, by, out = cap.astype(np.int64), {}, []
+    for key, salt, n in sorted(units):
+        by.setdefault(key, []).append((salt, n))
+    for key, parts in sorted(by.items(), key=lambda x: (-sum(n for _, n in x[1]), x[0])):
+        rest, to = sum(n for _, n in parts), None
+        for salt, n in parts:
+            if to is None or room[to] < n:
+                fits = np.flatnonzero(room >= rest)
+                to = int(fits[room[fits].argmin()] if len(fits) else room.argmax())
+            room[to] -= n
+            rest -= n
+            out.append((key, salt, to))
+    return out
+
+
+def admit(wanted: list[tuple], load: np.ndarray, cap: np.ndarray) -> list[tuple]:
+    """The (to, part) of the wishes (from, to, part, n) that are granted, each for
+    all shards that its units come from: by quotas, then by the room left, up to a
+    hundredth beyond the cap (what is too much is taken off in one run of keys)."""
+    wish, lumps, load = np.zeros((len(cap), len(cap))), {}, load.astype(np.int64)
+    for a, b, p, n in sorted(wanted):
+        wish[a, b] += n
+        lumps.setdefault((b, p), []).append((a, n))
+    left, granted = quotas(wish, load, cap), []
+    for by_quota in (True, False):
+        for (b, p), parts in list(lumps.items()):
+            n = sum(n for _, n in parts)
+            if all(n <= left[a, b] for a, n in parts) if by_quota else load[b] + n <= cap[b] + cap[b] // 100:
+                for a, m in parts:
+                    left[a, b] -= m
+                    load[a] -= m
+                load[b] += n
+                granted.append((b, p))
+                del lumps[b, p]
+    return granted
+
+
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", link_key=None, rounds: int = 12, salts: int = 256, buckets: int = 1024) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot for every row, under the law ``rows``.
 
     ``link_key``: a column expression; rows with equal keys are linked, by
     default those with equal texts (null text: empty). Repeated rows are
-    linked. Groups larger than a shard are spread over as few shards as their
-    rounds reach. With fewer rows than shards some shards stay empty; an empty
+    linked. Groups larger than a shard are spread over as few shards as hold
+    them. Rounds end when no cut group finds room as a whole, or at ``rounds``.
+    With fewer rows than shards some shards stay empty; an empty
     table gives no rows. Other columns are ignored.
 
-    The driver sees counts by shard and hash bucket only (bounded by
-    ``shards ** 2 * buckets``); ranks are found within buckets.
+    The driver sees counts by shard and hash bucket (bounded by
+    ``shards ** 2 * buckets``) and the units of large keys (by ``8 * shards *
+    salts``) only; ranks are found within buckets.
     """
     text = text_or_empty(text_col)
     key = F.unhex(F.md5(text.cast("binary"))) if link_key is None else link_key
@@ -54,47 +99,65 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     units = rows.groupBy("key", "salt").agg(F.count("*").alias("n"))
     units = stage(units, "units")
     sizes = units.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1")
-    # a large group moves unit by unit, a small one as a whole
+    # a large group is seated unit by unit, a small one moves as a whole
     large = max(2, total // (shards * 8))
-    part = F.pmod(F.xxhash64("key", F.when(F.col("all") > large, F.col("salt")).otherwise(0)), F.lit(buckets)).cast("int")
-    labels = units.join(sizes, "key").select("key", "salt", "n", part.alias("part"), F.pmod(F.xxhash64("key", "salt"), F.lit(shards)).cast("int").alias("shard"))
-    labels = stage(labels, "labels")
+    half = buckets // 2
+    # large ones come first in a shard, so that a surplus is taken off the others
+    part = F.when(F.col("all") > large, F.pmod(F.xxhash64("key", "salt"), F.lit(half))).otherwise(half + F.pmod(F.xxhash64("key"), F.lit(buckets - half))).cast("int")
+    linked = stage(units.join(sizes, "key").select("key", "salt", "n", "all", part.alias("part")), "linked")
     release(units)
+    spark = linked.sparkSession
+    at = lambda values, i: F.element_at(F.array(*[F.lit(int(v)) for v in values]), i + 1)
+    big = linked.where(F.col("all") > large)
+    seated = seats([tuple(r) for r in big.select("key", "salt", "n").collect()], cap)
+    places = spark.createDataFrame(seated, big.select("key", "salt", F.lit(0).alias("shard")).schema)
+    big = stage(big.join(F.broadcast(places), ["key", "salt"]).select("key", "salt", "n", "part", "shard"), "seated")
+    taken = np.zeros(shards, dtype=np.int64)
+    for s, n in big.groupBy("shard").agg(F.sum("n")).collect():
+        taken[s] = n
+    # the others start by hash where the large ones left room
+    ends = np.cumsum(np.maximum(0, cap - taken))
+    dice = F.pmod(F.xxhash64("key", "salt"), F.lit(int(max(1, ends[-1]))))
+    begin = F.coalesce(*[F.when(dice < int(e), F.lit(s)) for s, e in enumerate(ends)], F.lit(shards - 1))
+    labels = stage(linked.where(F.col("all") <= large).select("key", "salt", "n", "all", "part", begin.alias("shard")), "labels")
+    release(linked)
 
-    for _ in range(rounds):
-        load = np.zeros(shards, dtype=np.int64)
+    still = 0
+    for k in range(rounds):
+        load = taken.copy()
         for s, n in labels.groupBy("shard").agg(F.sum("n")).collect():
-            load[s] = n
-        by_shard = labels.groupBy("key", "shard").agg(F.sum("n").alias("n"))
-        most = by_shard.groupBy("key").agg(F.max(F.struct("n", F.pmod(F.col("shard") + F.xxhash64("key"), F.lit(shards)).alias("tie"), F.col("shard").alias("to"))).alias("m")).select("key", F.col("m.to").alias("to"))
-        wishes = stage(labels.join(most, "key"), "wishes")
-        wanted = wishes.where("shard != to").groupBy("shard", "to", "part").agg(F.sum("n").alias("n")).collect()
-        if not wanted:
-            release(wishes)
-            break
-        wish = np.zeros((shards, shards))
-        for a, b, _, n in wanted:
-            wish[a, b] += n
-        left = quotas(wish, load, cap)
-        moved = []
-        for a, b, p, n in sorted(wanted):
-            if n <= left[a, b]:
-                left[a, b] -= n
-                moved.append((a, b, p))
+            load[s] += n
+        room = cap - load
+        held = labels.groupBy("key", "shard").agg(F.sum("n").alias("n"), F.first("all").alias("all"), F.max(F.xxhash64("key", "salt", F.lit(k))).alias("lead"))
+        tie = F.pmod(F.col("shard") + F.xxhash64("key"), F.lit(shards))
+        fits = at(room, F.col("shard")) >= F.col("all") - F.col("n")
+        best = F.max(F.when(fits, F.struct("n", tie.alias("tie"), F.col("shard").alias("to")))) if k % 2 else F.max(F.struct("lead", F.col("shard").alias("to")))
+        cut = held.groupBy("key").agg(best["to"].alias("to"), F.count("*").alias("pieces"), F.first("all").alias("all")).where("pieces > 1")
+        others = F.filter(F.array(*[F.lit(s) for s in range(shards)]), lambda s: at(room, s) >= F.col("all"))
+        other = F.when(F.size(others) > 0, F.element_at(others, (F.pmod(F.xxhash64("key", F.lit(k)), F.greatest(F.size(others), F.lit(1))) + 1).cast("int")))
+        lump = F.pmod(F.xxhash64("key", F.lit(k)), F.lit(buckets)).cast("int").alias("lump")
+        goals = cut.select("key", F.coalesce("to", other).alias("to"), lump).where("to is not null")
+        wishes = stage(labels.join(goals, "key", "left"), "wishes")
+        wanted = wishes.where("shard != to").groupBy("shard", "to", "lump").agg(F.sum("n").alias("n")).collect()
+        moved = admit([tuple(r) for r in wanted], load, cap)
+        still = 0 if moved else still + 1
         if not moved:
             release(wishes)
-            break
-        allowed = labels.sparkSession.createDataFrame(moved, "shard int, to int, part int").withColumn("go", F.lit(True))
-        after = wishes.join(F.broadcast(allowed), ["shard", "to", "part"], "left").select("key", "salt", "n", "part", F.when(F.col("go"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
+            if still == 2 or not wanted and k % 2 == 0:
+                break
+            continue
+        allowed = spark.createDataFrame(moved, "to int, lump int").withColumn("go", F.lit(True))
+        after = wishes.join(F.broadcast(allowed), ["to", "lump"], "left").select("key", "salt", "n", "all", "part", F.when(F.col("go"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
         after = stage(after, "labels")
         release(labels, wishes)
         labels = after
+    homes = labels.select("key", "salt", "shard", "part").unionByName(big.select("key", "salt", "shard", "part"))
 
     # fill up: surplus of full shards and documents without a neighbour go where room is left
     own = F.coalesce(F.col("shard"), F.lit(shards))
     spread = F.coalesce(F.col("part"), F.pmod(F.xxhash64("uid"), F.lit(buckets)).cast("int"))
-    placed = stage(rows.join(labels.select("key", "salt", "shard", "part"), ["key", "salt"], "left").select("uid", "doc_id", "size", "text_crc32", "key", own.alias("own"), spread.alias("part")), "placed")
-    release(rows, labels)
+    placed = stage(rows.join(homes, ["key", "salt"], "left").select("uid", "doc_id", "size", "text_crc32", "key", own.alias("own"), spread.alias("part")), "placed")
+    release(rows, labels, big)
     counts = np.zeros((shards + 1, buckets), dtype=np.int64)
     for s, p, n in placed.groupBy("own", "part").count().collect():
         counts[s, p] = n
@@ -109,7 +172,6 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
 
     rank = F.col("before") + F.row_number().over(Window.partitionBy("own", "part").orderBy("key", "uid")) - 1
     ranked = placed.join(F.broadcast(offsets), ["own", "part"]).withColumn("rank", rank)
-    at = lambda values, i: F.element_at(F.array(*[F.lit(int(v)) for v in values]), i + 1)
     stays = (F.col("own") < shards) & (F.col("rank") < at([*room, 0], F.col("own")))
     spare = at(over_at, F.col("own")) + F.col("rank") - at([*room, 0], F.col("own"))
     to = F.coalesce(*[F.when((spare >= int(lack_at[s])) & (spare < int(lack_at[s] + lack[s])), F.lit(s)) for s in range(shards)])

@@ -215,6 +215,23 @@ def test_sharding_keeps_groups_together(spark):
     assert cut < 0.15, cut
 
 
+@pytest.mark.parametrize("singles", [2000, 0])
+def test_sharding_with_a_hot_group_joins_the_others(spark, singles):
+    rng, rows = random.Random(4), [(i, "hot") for i in range(6800)]
+    while len(rows) < 20_000 - singles:
+        rows += [(len(rows) + i, f"text {len(rows)}") for i in range(rng.choice((2, 3, 5, 10, 40)))]
+    rows += [(len(rows) + i, f"single {i}") for i in range(singles)]
+    text = dict(rows)
+    by, sizes = collections.defaultdict(set), collections.Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        by[text[r.doc_id]].add(r.shard)
+        sizes[r.shard] += 1
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert len(by.pop("hot")) == 3
+    cut = sum(len(s) > 1 for s in by.values())
+    assert cut <= 16, (cut, len(by))
+
+
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
 
