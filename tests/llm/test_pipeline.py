@@ -1,6 +1,7 @@
 """The pipeline's stages on a small corpus, and its registration."""
 
 import re
+from pathlib import Path
 
 import pytest
 
@@ -68,3 +69,9 @@ def test_mixing_stage_keeps_clean_documents_and_drops_toxic_ones(spark, tmp_path
         ids = [r.doc_id for r in docs.join(labels.where(labels.domain == domain), "doc_id", "left_semi").select("doc_id").collect()]
         assert len(ids) > 100
         assert least <= sum(i in mixed for i in ids) / len(ids) <= most, domain
+
+
+def test_readme_lists_the_queries_without_sql():
+    readme = (Path(entry.__file__).parent / "README.md").read_text()
+    line = next((x for x in readme.splitlines() if x.startswith("Queries without SQL:")), "")
+    assert set(re.findall(r"`(\w+)`", line)) == set(entry.queries()) - set(entry.oracle_sql())
