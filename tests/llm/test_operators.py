@@ -170,12 +170,30 @@ def near(rows, k, percent):
     return collections.Counter((key, len(sets[i]), key if not sets[i] else least.get(root(i))) for i, (key, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("k,percent,few,block", [(3, 90, 32, 2048), (5, 80, 3, 7), (5, 80, 32, 2048), (3, 90, 2, 5)])
+@pytest.mark.parametrize("k,percent,few,block", [(3, 90, 8, 1 << 20), (5, 80, 3, 900), (5, 80, 8, 1 << 20), (3, 90, 2, 700), (5, 80, 2, 1 << 20)])
 def test_near_classes(spark, docs, k, percent, few, block):
     got = jaccard.near_classes(docs, words=k, percent=percent, few=few, block=block).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near(rows_of(docs), k, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_cross_links_against_all_pairs(percent):
+    rng = np.random.default_rng(3)
+    levels = rng.integers(0, 3, 1 << 18).astype(np.uint8)
+    for _ in range(30):
+        base = rng.integers(0, 2**63, 120).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(120) > rng.choice([0, 0.05, 0.15])], rng.integers(0, 2**63, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(40)]
+        labels = rng.integers(0, rng.integers(1, 12), 40).tolist()
+        want, got = jaccard._Sets(labels), jaccard._Sets(labels)
+        for i in range(40):
+            for j in range(i):
+                if (100 + percent) * len(np.intersect1d(sets[i], sets[j])) >= percent * (len(sets[i]) + len(sets[j])):
+                    want.join(i, j)
+        found = jaccard.cross_links(sets, labels, levels, percent)
+        assert all(got.join(i, j) for i, j in found)
+        assert [got.root(i) for i in range(40)] == [want.root(i) for i in range(40)]
+
+
 def test_drop_near_keeps_one_of_each(spark, docs):
     kept = jaccard.drop_near(docs)
     assert kept.columns == docs.columns
@@ -382,7 +400,7 @@ def test_encoder_gives_the_librarys_ids():
 @pytest.mark.parametrize("percent", [80, 90])
 def test_filters_lose_no_link(percent):
     rng = np.random.default_rng(7)
-    levels = rng.integers(0, 3, 1 << jaccard.SKETCH).astype(np.uint8)
+    levels = rng.integers(0, 3, 1 << 18).astype(np.uint8)
     links = 0
     for _ in range(300):
         base = rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64)
@@ -394,7 +412,7 @@ def test_filters_lose_no_link(percent):
         links += 1
         for order in range(3):
             a, b = (jaccard._keyed(z, levels, percent, order) for z in (x, y))
-            assert jaccard.may_link(a[1], b[1], len(x), len(y), percent)
+            assert jaccard.may_link(*[jaccard.short_keys(z, levels, percent, order) for z in (x, y)], len(x), len(y), percent)
             p, q = next((int(np.flatnonzero(a[0] == t)[0]), int(np.flatnonzero(b[0] == t)[0])) for t in a[0] if t in b[0])
             assert (100 + percent) * (1 + min(len(x) - p - 1, len(y) - q - 1)) >= percent * (len(x) + len(y))
     assert links > 50
