@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import stage
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, extra: int = 1) -> DataFrame:
     """length, n_docs: how many documents have how many tokens, the end token included.
 
-    Null and empty texts count ``extra`` tokens. Repeated rows count each.
+    Null and empty texts count ``extra`` tokens. Repeated rows count each, very
+    long texts are encoded whole. Other columns, of any name, are ignored; an
+    empty table gives no row.
     """
     path = tokenizer or tokens.default_tokenizer()
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -26,8 +29,10 @@ def context_totals(histogram: DataFrame, block: int = 1024) -> DataFrame:
     Sums run within blocks of ``block`` lengths and over the blocks' totals, so
     no task holds the whole histogram. Between two lengths that occur the
     figures follow from the lower one (``truncated_at``). Empty in, empty out.
+    The histogram is written once, so that its documents are encoded once
+    though both the sums and the rows read it.
     """
-    h = histogram.withColumn("block", (F.col("length") / block).cast("long")).withColumn("tokens", F.col("length") * F.col("n_docs"))
+    h = stage(histogram, "histogram").withColumn("block", (F.col("length") / block).cast("long")).withColumn("tokens", F.col("length") * F.col("n_docs"))
     totals = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     up = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
