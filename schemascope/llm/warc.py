@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 
 # Fixed values of the seekable format.
 _SKIPPABLE = 0x184D2A5E
@@ -120,13 +120,19 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Of records with equal payloads the one with the largest page_id is the
     response and the others revisit it; of repeated rows with that id each is
     a response. Null html is an empty payload; a null page_id never refers and
-    is written as a response. A record longer than a frame has its own.
+    is written as a response. A record longer than a frame, however long, has
+    its own. ids are long integers. Other columns, of any name, are ignored; an
+    empty table gives no bundle.
+
+    Only ids and digests are shuffled to find the references; they reach the
+    pages by broadcast if they are few, else by a join on id and digest.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("sha", F.unhex(F.sha1("html"))).withColumn("size", F.octet_length("html"))
     # only payloads that occur more than once
     best = keyed.groupBy("sha", "size").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("sha", "size", "best")
-    linked = keyed.join(best, ["sha", "size"], "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("best"), F.col("best")).alias("refers_to"))
+    refs = keyed.select("page_id", "sha", "size").join(small(stage(best, "repeated")), ["sha", "size"]).where("page_id < best").select("page_id", "sha", F.col("best").alias("refers_to")).distinct()
+    linked = keyed.join(small(stage(refs, "refs")), ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -185,3 +191,49 @@ def index_of(bundles: DataFrame) -> DataFrame:
     """page_id -> bundle, frame, frame_offset, length."""
     zipped = F.arrays_zip("record_ids", "frames", "offsets", "lengths")
     return bundles.select("bundle", F.explode(zipped).alias("x")).select(F.col("x.record_ids").alias("page_id"), "bundle", F.col("x.frames").alias("frame"), F.col("x.offsets").alias("frame_offset"), F.col("x.lengths").alias("length"))
+
+
+def export_bundles(bundles: DataFrame, folder: str) -> DataFrame:
+    """Writes each bundle as ``<folder>/<bundle>``, a ``.warc.zst`` file that any
+    reader of the seekable format opens; bundle, path, size of every file.
+
+    ``folder`` is a URI that all executors reach (file, hdfs, s3 and so on). A
+    file is written under a name of its own and then renamed, so a task that
+    runs again leaves one whole file. An empty table writes none.
+    """
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            out = []
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(data)
+                store.move(part, f"{root}/{name}")
+                out.append((name, f"{root}/{name}", len(data)))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], ["bundle", "path", "size"])
+
+    return stage(bundles.select("bundle", "bytes").mapInArrow(write, "bundle string, path string, size long"), "files")
+
+
+def read_from_file(folder: str, bundle: str, frame: int, offset: int, length: int) -> tuple[dict[str, str], bytes, bytes]:
+    """One record of an exported bundle, by its place in the index: reads the
+    footer and one frame of the file."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{root}/{bundle}") as f:
+        n, _, magic = struct.unpack("<IBI", f.read_at(9, f.size() - 9))
+        if magic != _SEEKABLE:
+            raise ValueError("no seek table")
+        sizes = list(struct.iter_unpack("<II", f.read_at(8 * n, f.size() - 9 - 8 * n)))
+        packed = f.read_at(sizes[frame][0], sum(x for x, _ in sizes[:frame]))
+    data = zstandard.ZstdDecompressor().decompress(packed, max_output_size=sizes[frame][1])
+    return next(parse(data[offset : offset + length]))
