@@ -54,10 +54,10 @@ def repeated_words(words: Column, window: int = 8) -> Column:
 
 
 def with_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the base figures and those that the cascade's rules need."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = [c for c in docs.columns if c.lower() not in {"_text", "_words", "_lines"}]
-    x = docs.select(*kept, text.alias("_text")).withColumn("_words", F.filter(F.split("_text", _SPACE), lambda w: w != ""))
+    """``_row``, the columns of docs, with the base figures and those that the cascade's rules need."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    x = docs.select(row, text.alias("_text")).withColumn("_words", F.filter(F.split("_text", _SPACE), lambda w: w != ""))
     x = x.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda line: line.rlike(_WORD)))
     figures = {
         "n_words": F.size("_words").cast("long"),
@@ -67,7 +67,7 @@ def with_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_words")),
     }
-    return x.select(*kept, "_text", "_words", *[v.alias(f"_q_{k}") for k, v in figures.items()])
+    return x.select("_row", "_text", "_words", *[v.alias(f"_q_{k}") for k, v in figures.items()])
 
 
 def base_failed() -> Column:
@@ -88,35 +88,46 @@ def default_rules() -> dict[str, Column]:
     }
 
 
-def ordered_rules(figured: DataFrame, rules: Mapping[str, Column], sample_rows: int = 2000, repeats: int = 2) -> list[tuple[str, float, float]]:
-    """(name, seconds, share rejected) of each rule on a sample, by rejection per cost, most first.
+def ordered_rules(figured: DataFrame, rules: Mapping[str, Column], sample_rows: int = 2000, repeats: int = 3, tie: float = 1.5) -> list[tuple[str, float, float]]:
+    """(name, seconds a row, share rejected) of each rule on a sample, by rejection per cost, most first.
 
-    The sample is at most ``sample_rows`` documents spread over the whole
-    input by hash; it sets the order alone, and the verdict doesn't depend on
-    the order. Time that an empty rule takes is taken off.
+    The sample is at most four times ``sample_rows`` documents spread over the
+    whole input by hash; it sets the order alone, and the verdict doesn't
+    depend on the order. Each rule runs over the sample so many times within
+    one job that jobs are of about one size, once to warm up and then
+    ``repeats`` times in turns with the others; its least time counts, less
+    that of an empty rule. Rules whose rejection per cost is within a factor
+    of ``tie`` of the best that is left go by name, so that the order repeats.
     """
     total = figured.count()
     if not total:
-        return [(k, 0.0, 0.0) for k in rules]
+        return [(k, 0.0, 0.0) for k in sorted(rules)]
     part = max(1, -(-total // sample_rows))
-    sample = figured.where(F.pmod(F.xxhash64("_text"), F.lit(part)) == 0).limit(4 * sample_rows).cache()
+    sample = figured.drop("_row").where(F.pmod(F.xxhash64("_text"), F.lit(part)) == 0).limit(4 * sample_rows).cache()
     n = max(1, sample.count())
-
-    def timed(rule: Column) -> tuple[float, int]:
-        best, hits = float("inf"), 0
-        for _ in range(repeats):
-            began = time.perf_counter()
-            hits = sample.agg(F.coalesce(F.sum(F.when(rule, 1).otherwise(0)), F.lit(0))).first()[0]
-            best = min(best, time.perf_counter() - began)
-        return best, hits
-
-    empty = timed(F.lit(False))[0]
-    found = []
-    for name, rule in rules.items():
-        seconds, hits = timed(rule)
-        found.append((name, max(1e-4, seconds - empty), hits / n))
+    times = max(2, -(-4 * sample_rows // n))
+    again = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+    def timed(rule: Column) -> tuple[float, float]:
+        began = time.perf_counter()
+        hits = again.agg(F.coalesce(F.sum(F.when(rule, 1).otherwise(0)), F.lit(0))).first()[0]
+        return time.perf_counter() - began, hits / (n * times)
+
+    every = {None: F.lit(False), **rules}
+    shares = {k: timed(rule)[1] for k, rule in every.items()}
+    seconds = dict.fromkeys(every, float("inf"))
+    for _ in range(repeats):
+        for k, rule in every.items():
+            seconds[k] = min(seconds[k], timed(rule)[0])
     sample.unpersist()
-    return sorted(found, key=lambda x: (-x[2] / x[1], x[0]))
+    cost = {k: max(0.02 * seconds[None], seconds[k] - seconds[None]) / (n * times) for k in rules}
+    left, found = sorted(rules, key=lambda k: -shares[k] / cost[k]), []
+    while left:
+        best = shares[left[0]] / cost[left[0]]
+        group = [k for k in left if tie * shares[k] / cost[k] >= best]
+        found += [(k, cost[k], shares[k]) for k in sorted(group)]
+        left = [k for k in left if k not in group]
+    return found
 
 
 def cascade(order: list[str], rules: Mapping[str, Column]) -> Column:
@@ -130,17 +141,16 @@ def cascade(order: list[str], rules: Mapping[str, Column]) -> Column:
 def judge(docs: DataFrame, text_col: str = "text", rules: Mapping[str, Column] | None = None, sample_rows: int = 2000, order: list[str] | None = None) -> DataFrame:
     """docs with base figures, ``base_failed``, ``rejected_by`` and ``kept``.
 
-    Null text has no words. Base rules come first and the cascade runs only on
-    rows that pass them. Input columns whose names clash with the new ones are
-    replaced. Repeated rows are judged alike; an empty table gives no rows.
+    Null and empty texts have no words. Base rules come first and the cascade
+    runs only on rows that pass them. Very long texts are read whole. Input
+    columns whose names, in any case, clash with the new ones are replaced, all
+    others stay. Repeated rows are judged alike; an empty table gives no rows.
     """
     rules = default_rules() if rules is None else rules
     added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"}
     x = with_figures(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text_col or c.lower() not in added]), text_col)
     if order is None:
-        light = with_figures(docs.select(F.col(text_col)), text_col)
-        order = [k for k, _, _ in ordered_rules(light, rules, sample_rows)]
+        order = [k for k, _, _ in ordered_rules(with_figures(docs.select(F.col(f"`{text_col}`")), text_col), rules, sample_rows)]
     rejected = F.when(base_failed(), F.lit("base")).otherwise(cascade(order, rules))
-    names = [c for c in x.columns if c[0] != "_"]
-    out = x.select(*names, *[F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed().alias("base_failed"), rejected.alias("rejected_by"))
+    out = x.select("_row.*", *[F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed().alias("base_failed"), rejected.alias("rejected_by"))
     return out.withColumn("kept", F.col("rejected_by").isNull())
