@@ -96,15 +96,13 @@ def row_key(id_col: str, text_col: str):
 
 
 def keep_rows(docs: DataFrame, key, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose key is in kept's only column; of rows with equal keys one."""
-    names = docs.columns
-    keyed = docs.withColumn("__key", key)
-    out = keyed.join(kept.toDF("__key"), "__key", "left_semi")
-    repeated = stage(keyed.groupBy("__key").count().where("count > 1").select("__key"), "repeated")
-    if repeated.isEmpty():
-        return out.select(*names)
-    once = out.join(repeated, "__key", "left_anti")
-    return once.unionByName(out.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])).select(*names)
+    """The rows of docs, all columns as they are, whose key is in kept's only column; of rows with equal keys one."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    out = keyed.join(kept.toDF("key"), "key", "left_semi")
+    repeated = stage(keyed.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    if not repeated.isEmpty():
+        out = out.join(repeated, "key", "left_anti").unionByName(out.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    return out.select("row.*")
 
 
 # --- words and shingles -----------------------------------------------------
