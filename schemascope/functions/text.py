@@ -90,8 +90,14 @@ def lexical_score(api_name: Column, label: Column, description: Column, kind: Co
 
 def jaccard(a: Column, b: Column) -> Column:
     """Word Jaccard; 0 if either side has no words."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "\\W+"), lambda t: t != ""))
-    x, y = words(a), words(b)
+    return set_jaccard(word_set(a), word_set(b))
+
+
+def word_set(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(c), "\\W+"), lambda t: t != ""))
+
+
+def set_jaccard(x: Column, y: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 

@@ -101,8 +101,11 @@ def multiplier(suffix: Column) -> Column:
 
 
 def fallback_entity(value: Column) -> Column:
-    """struct(kind, confidence) by simple rules, for values that nothing grounds."""
-    v = F.trim(value)
-    kind = F.when(F.lower(v).isin(*DATE_PHRASES) | F.upper(v).isin(*DATE_LITERALS), "date").when(v.rlike("^\\$?\\d[\\d,.]*\\s*[kKmMbB]?$"), "number").when(v.rlike("^[a-zA-Z0-9]{15}([a-zA-Z0-9]{3})?$") & v.rlike("\\d"), "id").when(v.rlike("^[A-Z][a-z]+"), "company").otherwise("unknown")
-    score = F.when(kind == "date", 0.9).when(kind == "number", 0.85).when(kind == "id", 0.95).when(kind == "company", 0.5).otherwise(0.3)
-    return F.struct(kind.alias("kind"), score.alias("confidence"))
+    """struct(kind, confidence) by simple rules, where nothing can be grounded."""
+    number = value.rlike("^\\$?\\d+(,\\d{3})*(\\.\\d{2})?[kKmM]?$")
+    phrases = [p for p in DATE_PHRASES if p not in ("next quarter", "next year")]
+    rules = [(F.lower(value).isin(*phrases), "date_reference", 0.95), (number, "numeric_value", 0.95), (value.rlike("^[a-zA-Z0-9]{15}([a-zA-Z0-9]{3})?$"), "object_reference", 0.95), (value.rlike("^[A-Z][a-z]+(\\s+[A-Z][a-z]+)*$"), "unknown", 0.5)]
+    out = F.struct(F.lit("unknown").alias("kind"), F.lit(0.3).alias("confidence"))
+    for fits, kind, score in reversed(rules):
+        out = F.when(fits, F.struct(F.lit(kind).alias("kind"), F.lit(score).alias("confidence"))).otherwise(out)
+    return out

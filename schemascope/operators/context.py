@@ -129,3 +129,31 @@ class FuzzyCache:
 
 def similar_questions(a: Column, b: Column) -> Column:
     return cache_jaccard(a, b)
+
+
+def full_text(schema: DataFrame, objects: DataFrame) -> DataFrame:
+    """apiName and a block of text for each object of ``object_schema``: its
+    fields, parent lookups and child relationships, each part only where it
+    has lines."""
+    def part(head: str, lines: Column) -> Column:
+        return F.when(F.size(lines) > 0, F.concat(F.lit(f"  {head}:\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("    - "), x)), "\n")))
+
+    values = lambda f: F.filter(F.col("values"), lambda v: F.split_part(v, F.lit("="), F.lit(1)) == F.split_part(f, F.lit(":"), F.lit(1)))
+    field = lambda f: F.concat(F.split_part(f, F.lit(":"), F.lit(1)), F.lit(" ("), F.split_part(f, F.lit(":"), F.lit(2)), F.lit(")"), F.when(F.size(values(f)) > 0, F.concat(F.lit(" - Values: "), F.array_join(F.transform(values(f), lambda v: F.split_part(v, F.lit("="), F.lit(2))), ", "))).otherwise(""))
+    parent = lambda p: F.concat(F.split_part(p, F.lit("->"), F.lit(1)), F.lit(".FieldName: fields of "), F.split_part(p, F.lit("->"), F.lit(2)))
+    child = lambda c: F.concat(F.lit("(SELECT fields FROM "), F.split_part(c, F.lit("<-"), F.lit(1)), F.lit("): records of "), F.split_part(c, F.lit("<-"), F.lit(2)))
+    head = F.concat(F.lit("Object: "), "apiName", F.lit(" ("), "label", F.lit(")"), F.when(F.col("category").isNotNull(), F.concat(F.lit(" ["), "category", F.lit("]"))).otherwise(""))
+    x = schema.join(objects.select("apiName", "label", "category"), "apiName")
+    return x.select("apiName", F.concat_ws("\n", head, part("Fields", F.transform("fields", field)), part("Parent lookups", F.transform("parents", parent)), part("Child relationships", F.transform("children", child))).alias("text"))
+
+
+def semantic_context(hits: DataFrame, objects: DataFrame, fields: DataFrame, terms: Column, question: Column, most: int = 5, cap: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(fields, warnings) of the ``most`` best objects that terms found (apiName,
+    confidence): ``cap`` fields of each by rank, and the anti-patterns that the
+    objects' categories show in the question."""
+    from .tagging import anti_patterns
+
+    best = hits.groupBy("apiName").agg(F.max("confidence").alias("confidence")).orderBy(F.desc("confidence"), "apiName").limit(most)
+    chosen = fields.join(best.select(F.col("apiName").alias("sobjectType")), "sobjectType", "left_semi")
+    found = important_fields(chosen, terms, cap).select("sobjectType", "apiName", "rank")
+    return found, anti_patterns(objects.join(best, "apiName", "left_semi").select("apiName", "category"), question)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 _DERIVED = "(Share|Feed|History|ChangeEvent)$"
 
 
@@ -21,8 +23,13 @@ def object_by_name(objects: DataFrame, fields: DataFrame, name: str) -> DataFram
     return objects.where(F.lower("apiName") == name.lower()).join(counts, ["apiName", "orgId"], "left").withColumn("fieldCount", F.coalesce("fieldCount", F.lit(0)))
 
 
-def object_fields(fields: DataFrame, name: str) -> DataFrame:
-    return fields.where(F.lower("sobjectType") == name.lower()).orderBy("apiName")
+def object_fields(fields: DataFrame, name: str, stamp: str = "lastRefreshed") -> DataFrame:
+    """An object's fields by name; of several rows of one name the one refreshed last, then first by org."""
+    own = fields.where(F.lower("sobjectType") == name.lower())
+    if stamp in fields.columns:
+        w = Window.partitionBy("apiName").orderBy(F.col(stamp).desc_nulls_last(), "orgId")
+        own = own.withColumn("row_", F.row_number().over(w)).where("row_ = 1").drop("row_")
+    return own.orderBy("apiName")
 
 
 def relationships(refs: DataFrame, name: str) -> DataFrame:
@@ -85,46 +92,56 @@ def search_objects(objects: DataFrame, q: str, limit: int = 20) -> DataFrame:
 # --- paths
 
 
+def distances(step: DataFrame, source: str, most: int, target: str | None = None) -> DataFrame:
+    """apiName, distance of what arcs (src, dst) reach from ``source`` within
+    ``most`` hops, the source included; ends at the level that reaches ``target``.
+
+    Each level is written to the shared folder, so no level computes an earlier
+    one again, and a node is met once.
+    """
+    front = step.sparkSession.createDataFrame([(source, 0)], "apiName string, distance int")
+    seen = front
+    for d in range(1, most + 1):
+        front = staged(front.join(step, F.col("apiName") == F.col("src")).select(F.col("dst").alias("apiName")).distinct().join(seen, "apiName", "left_anti").withColumn("distance", F.lit(d)), "level")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        if target is not None and not front.where(F.col("apiName") == target).isEmpty():
+            break
+    return seen
+
+
 def shortest_paths(arcs: DataFrame, source: str, target: str, most: int = 5, limit: int = 10, directed: bool = True) -> DataFrame:
     """nodes of all shortest paths along arcs (src, dst), in a total order.
 
-    Level by level; every level's paths are a join with the arcs, and the loop
-    ends at the level that reaches the target.
+    Distances first, then back from the target over arcs that come one nearer:
+    only arcs on shortest paths are ever extended.
     """
     step = arcs.select("src", "dst").distinct()
     if not directed:
         step = step.unionByName(step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    step = step.where("src != dst").cache()
-    paths = step.sparkSession.createDataFrame([([source],)], "nodes array<string>")
-    for _ in range(most):
-        end = F.element_at("nodes", -1)
-        paths = paths.join(step, end == F.col("src")).where(~F.array_contains("nodes", F.col("dst"))).select(F.concat("nodes", F.array("dst")).alias("nodes"))
-        found = paths.where(F.element_at("nodes", -1) == target)
-        if not found.isEmpty():
-            return found.select(F.array_join("nodes", ">").alias("path"), (F.size("nodes") - 1).alias("hops")).orderBy("path").limit(limit)
-        if paths.isEmpty():
-            break
-    return paths.where(F.lit(False)).select(F.array_join("nodes", ">").alias("path"), (F.size("nodes") - 1).alias("hops"))
+    step = staged(step.where("src != dst"), "arcs")
+    at = distances(step, source, most, target)
+    end = at.where((F.col("apiName") == target) & (F.col("distance") > 0)).select("distance").first()
+    paths = step.sparkSession.createDataFrame([([target],)] if end else [], "nodes array<string>")
+    for d in range(end.distance - 1 if end else 0, -1, -1):
+        nearer = at.where(F.col("distance") == d).select(F.col("apiName").alias("src"))
+        paths = paths.join(step.join(nearer, "src", "left_semi"), F.element_at("nodes", 1) == F.col("dst")).select(F.concat(F.array("src"), "nodes").alias("nodes"))
+    found = paths.where(F.lit(end is not None) & (F.element_at("nodes", 1) == source))
+    return found.select(F.array_join("nodes", ">").alias("path"), (F.size("nodes") - 1).alias("hops")).orderBy("path").limit(limit)
 
 
 def related(arcs: DataFrame, source: str, depth: int, limit: int | None = 100) -> DataFrame:
     """apiName, distance within ``depth`` hops in either direction, nearest first."""
-    both = arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().cache()
-    seen = both.sparkSession.createDataFrame([(source, 0)], "apiName string, distance int")
-    front = seen
-    for d in range(1, depth + 1):
-        front = front.join(both, front["apiName"] == both["src"]).select(F.col("dst").alias("apiName")).distinct().join(seen, "apiName", "left_anti").withColumn("distance", F.lit(d))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    out = seen.where("distance > 0").orderBy("distance", "apiName")
+    both = staged(arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "arcs")
+    out = distances(both, source, depth).where("distance > 0").orderBy("distance", "apiName")
     return out if limit is None else out.limit(limit)
 
 
 def neighbourhood_edges(refs: DataFrame, arcs: DataFrame, source: str, depth: int) -> DataFrame:
     """Field edges whose ends both lie within ``depth`` hops."""
     inside = related(arcs, source, depth, None).select("apiName").unionByName(refs.sparkSession.createDataFrame([(source,)], "apiName string"))
-    return refs.join(F.broadcast(inside), refs["sourceObject"] == inside["apiName"], "left_semi").join(F.broadcast(inside), refs["targetObject"] == inside["apiName"], "left_semi").select("sourceObject", "fieldName", "targetObject")
+    return refs.join(inside, refs["sourceObject"] == inside["apiName"], "left_semi").join(inside, refs["targetObject"] == inside["apiName"], "left_semi").select("sourceObject", "fieldName", "targetObject")
 
 
 def detailed_paths(refs: DataFrame, source: str, target: str, most: int = 5, limit: int = 25) -> DataFrame:
@@ -148,15 +165,22 @@ def query_paths(refs: DataFrame, source: str, target: str, most: int = 5, limit:
 
     Trails forward and backward: no edge twice; shortest first.
     """
-    arcs = refs.select(F.col("sourceObject").alias("a"), F.col("targetObject").alias("b"), F.col("relationshipName").alias("up"), F.col("childName").alias("down"), F.concat_ws(".", "sourceObject", "fieldName", "targetObject").alias("id")).cache()
+    arcs = staged(refs.select(F.col("sourceObject").alias("a"), F.col("targetObject").alias("b"), F.col("relationshipName").alias("up"), F.col("childName").alias("down"), F.concat_ws(".", "sourceObject", "fieldName", "targetObject").alias("id")), "arcs")
 
     def trails(start: str, end: str) -> DataFrame:
-        spark = refs.sparkSession
-        open_ = spark.createDataFrame([([start], [], [], [])], "nodes array<string>, ids array<string>, ups array<string>, downs array<string>")
-        done = []
-        for _ in range(most):
-            open_ = open_.join(arcs, F.element_at("nodes", -1) == F.col("a")).where(~F.array_contains("ids", F.col("id"))).select(F.concat("nodes", F.array("b")).alias("nodes"), F.concat("ids", F.array("id")).alias("ids"), F.concat("ups", F.array("up")).alias("ups"), F.concat("downs", F.array("down")).alias("downs"))
+        """Level by level; a trail goes on only where the end is still in reach, and levels stop once enough are found."""
+        back = arcs.select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct()
+        reach = distances(back, end, most).select(F.col("apiName").alias("b"), "distance")
+        open_ = refs.sparkSession.createDataFrame([([start], [], [], [])], "nodes array<string>, ids array<string>, ups array<string>, downs array<string>")
+        done, found = [], 0
+        for k in range(1, most + 1):
+            useful = arcs.join(reach.where(F.col("distance") <= most - k).select("b"), "b", "left_semi")
+            open_ = open_.join(useful, F.element_at("nodes", -1) == F.col("a")).where(~F.array_contains("ids", F.col("id"))).select(F.concat("nodes", F.array("b")).alias("nodes"), F.concat("ids", F.array("id")).alias("ids"), F.concat("ups", F.array("up")).alias("ups"), F.concat("downs", F.array("down")).alias("downs"))
+            open_ = staged(open_, "trails")
             done.append(open_.where(F.element_at("nodes", -1) == end))
+            found += done[-1].count()
+            if found >= limit:
+                break
         return reduce(lambda x, y: x.unionByName(y), done)
 
     up = trails(source, target).select(F.array_join("nodes", ">").alias("path"), F.size("ids").alias("hops"), F.array_join("ups", ".").alias("dot"), F.lit(None).cast("string").alias("subquery"))
@@ -202,5 +226,76 @@ def _arcs(rollups: DataFrame) -> DataFrame:
 arcs_of = _arcs
 
 
-def exists(rows: Column) -> Column:
-    return F.count(rows) > 0
+# --- point and bulk reads
+
+
+def status(objects: DataFrame) -> DataFrame:
+    """populated, objectCount of the live objects."""
+    return objects.where(~F.coalesce(F.col("deleted"), F.lit(False))).agg((F.count("*") > 0).alias("populated"), F.count("*").alias("objectCount"))
+
+
+def in_category(assigned: DataFrame, objects: DataFrame, category: str) -> DataFrame:
+    """apiName, label, confidence of the objects that a category is assigned to, surest first."""
+    return objects.join(assigned.where(F.col("category") == category).select("apiName", "confidence"), "apiName").select("apiName", "label", "confidence").orderBy(F.desc("confidence"), "apiName")
+
+
+def object_properties(objects: DataFrame, name: str) -> DataFrame:
+    from ..functions import naming
+
+    n = F.col("apiName")
+    return objects.where(n == name).select(n, "label", naming.namespace(n).alias("namespace"), "category", naming.subtype(n).alias("subtype"))
+
+
+def field_properties(fields: DataFrame, owner: str, name: str) -> DataFrame:
+    """A field's properties; no targets is null."""
+    from ..functions import naming
+
+    n = F.col("apiName")
+    return fields.where((n == name) & (F.col("sobjectType") == owner)).select(n, "sobjectType", "label", "type", naming.namespace(n).alias("namespace"), naming.field_category(n).alias("category"), F.when(F.size("referenceTo") > 0, F.array_join("referenceTo", ",")).alias("referenceTo"))
+
+
+def lookups_to(objects: DataFrame, refs: DataFrame, target: str) -> DataFrame:
+    """apiName, hasLookup of every object: whether a field of it refers to ``target``."""
+    hit = refs.where(F.col("targetObject") == target).select(F.col("sourceObject").alias("apiName"), F.lit(True).alias("hit")).distinct()
+    return objects.select("apiName").join(hit, "apiName", "left").select("apiName", F.coalesce("hit", F.lit(False)).alias("hasLookup"))
+
+
+def custom_objects(objects: DataFrame) -> DataFrame:
+    return objects.where("category = 'custom'").select("apiName").orderBy("apiName")
+
+
+def unembedded(objects: DataFrame, fields: DataFrame, vectors: DataFrame) -> DataFrame:
+    """kind, id of the objects and fields that have no vector (vectors: kind, id)."""
+    every = objects.select(F.lit("Object").alias("kind"), F.col("apiName").alias("id")).unionByName(fields.select(F.lit("Field").alias("kind"), F.concat_ws(".", "sobjectType", "apiName").alias("id")))
+    return every.join(vectors, ["kind", "id"], "left_anti")
+
+
+def fields_with_owner(fields: DataFrame, objects: DataFrame, owner: str | None = None, org: str | None = None) -> DataFrame:
+    """Fields with their object's label; of one object and one org only, where given."""
+    x = fields if owner is None else fields.where(F.col("sobjectType") == owner)
+    x = x if org is None else x.where(F.col("orgId") == org)
+    o = objects.select(F.col("apiName").alias("sobjectType"), "orgId", F.col("label").alias("objectLabel"))
+    return x.join(o, ["sobjectType", "orgId"]).select("sobjectType", "apiName", "label", "type", "objectLabel")
+
+
+def search_nodes(objects: DataFrame, fields: DataFrame) -> DataFrame:
+    """id, label, category, fieldCount, isCenter of search results."""
+    counts = fields.groupBy(F.col("sobjectType").alias("id")).agg(F.count("*").alias("fieldCount"))
+    x = objects.select(F.col("apiName").alias("id"), F.coalesce("label", "apiName").alias("label"), F.coalesce("category", F.lit("standard")).alias("category"))
+    return x.join(counts, "id", "left").withColumn("fieldCount", F.coalesce("fieldCount", F.lit(0))).withColumn("isCenter", F.lit(False))
+
+
+# Objects that link users or contacts to an object.
+JUNCTIONS = {"Opportunity": ["OpportunityTeamMember", "OpportunityContactRole"], "Account": ["AccountTeamMember"], "Case": ["CaseTeamMember"]}
+
+
+def compact(objects: DataFrame, fields: DataFrame, refs: DataFrame) -> DataFrame:
+    """apiName, label, category, fieldCount, parents, junctions of every object that has fields."""
+    f = fields.groupBy(F.col("sobjectType").alias("apiName")).agg(F.count("*").alias("fieldCount"), F.max((F.col("apiName") == "OwnerId").cast("int")).alias("owned"))
+    arrow = F.concat_ws(" -> ", "relationshipName", F.array_join(F.sort_array(F.collect_set("targetObject")), ", "))
+    p = refs.where("relationshipName is not null").groupBy(F.col("sourceObject").alias("apiName"), "relationshipName").agg(arrow.alias("hint")).groupBy("apiName").agg(F.sort_array(F.collect_list("hint")).alias("parents"))
+    none = F.array().cast("array<string>")
+    owner = F.when(F.col("owned") == 1, F.array(F.lit("Owner -> User"))).otherwise(none)
+    junctions = F.create_map(*[x for k, v in JUNCTIONS.items() for x in (F.lit(k), F.array(*[F.lit(o) for o in v]))])
+    x = objects.join(f, "apiName").join(p, "apiName", "left")
+    return x.select("apiName", F.coalesce("label", "apiName").alias("label"), F.coalesce("category", F.lit("standard")).alias("category"), "fieldCount", F.concat(F.coalesce("parents", none), owner).alias("parents"), F.coalesce(F.element_at(junctions, F.col("apiName")), none).alias("junctions"))

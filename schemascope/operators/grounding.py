@@ -18,7 +18,8 @@ def by_picklist(terms: DataFrame, picklists: DataFrame, categories: DataFrame |
     p = picklists.where("isActive").select("objectApiName", "fieldApiName", "value", F.lower("value").alias("v"))
     t = terms.select("term", F.lower(F.trim("term")).alias("t")).where("t != ''")
     score = F.when(F.col("v") == F.col("t"), 1.0).when(F.col("v").startswith(F.col("t")), 0.9).otherwise(0.7)
-    x = t.join(F.broadcast(p), F.col("v").contains(F.col("t"))).withColumn("score", score)
+    # the terms of a question are few; the values come from data columns
+    x = p.join(F.broadcast(t), F.col("v").contains(F.col("t"))).withColumn("score", score)
     if categories is not None:
         x = x.join(F.broadcast(categories.select(F.col("apiName").alias("objectApiName"), "category")), "objectApiName", "left").withColumn("score", F.col("score") * V.category_weight(F.col("category")))
     w = Window.partitionBy("term").orderBy(F.desc("score"), "objectApiName", "fieldApiName", "value")
@@ -41,7 +42,7 @@ def ground(terms: DataFrame, picklists: DataFrame, objects: DataFrame, categorie
     found = by_pattern(t).unionByName(by_picklist(t, picklists, categories)).unionByName(by_object(t, objects).where("confidence > 0.7"))
     if names is not None:
         sure = found.where("confidence > 0.85").select("term").distinct()
-        found = found.unionByName(names.join(sure, "term", "left_anti").select("term", F.lit("record_name").alias("type"), "confidence", "filter"))
+        found = found.unionByName(names.join(sure, "term", "left_anti").select("term", F.lit("company_name").alias("type"), "confidence", "filter"))
     w = Window.partitionBy("term").orderBy(F.desc("confidence"), "type", "filter")
     return found.where(F.col("confidence") >= least).withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= top)
 
@@ -53,15 +54,19 @@ def related_context(refs: DataFrame, categories: DataFrame, context: list[str])
 
 
 # Kinds of entity for kinds of grounding.
-ENTITY_OF = {"picklist_value": "picklist", "object_reference": "object", "record_name": "company", "date_reference": "date", "numeric_value": "number", "id_reference": "id", "priority_value": "picklist", "status_value": "picklist", "field_reference": "field"}
+ENTITY_OF = {
+    "account_name": "company_name", "company_name": "company_name", "contact_name": "person_name", "person_name": "person_name", "picklist_value": "status_value",
+    "priority_value": "priority_value", "status_value": "status_value", "object_reference": "object_reference", "date_reference": "date_reference",
+    "numeric_value": "numeric_value", "id_reference": "object_reference", "field_reference": "unknown",
+}
 
 
 def entities(terms: DataFrame, grounded: DataFrame) -> DataFrame:
-    """term, entity, confidence: the best grounding, else company for a capitalised word (0.6), else unknown (0.3)."""
-    best = grounded.where("rank = 1").select("term", V.lookup(ENTITY_OF, F.col("type")).alias("entity"), "confidence")
+    """term, entity, confidence: the best grounding, else a company's name for a capitalised word (0.6), else unknown (0.3)."""
+    best = grounded.where("rank = 1").select("term", F.coalesce(V.lookup(ENTITY_OF, F.col("type")), F.lit("unknown")).alias("entity"), "confidence")
     capital = F.col("term").rlike("^[A-Z][a-z]+")
     x = terms.select("term").distinct().join(best, "term", "left")
-    return x.select("term", F.coalesce("entity", F.when(capital, "company").otherwise("unknown")).alias("entity"), F.coalesce("confidence", F.when(capital, 0.6).otherwise(0.3)).alias("confidence"))
+    return x.select("term", F.coalesce("entity", F.when(capital, "company_name").otherwise("unknown")).alias("entity"), F.coalesce("confidence", F.when(capital, 0.6).otherwise(0.3)).alias("confidence"))
 
 
 def notes(grounded: DataFrame) -> DataFrame:

@@ -48,8 +48,8 @@ def dependency_rows(describes: DataFrame, org: str) -> DataFrame:
 
 
 def clean_xml(c):
-    """The first of a repeated element, without control characters and outer blanks."""
-    return F.trim(F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""))
+    """An element's text without control characters and outer white space."""
+    return F.regexp_replace(F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""), "^\\s+|\\s+$", "")
 
 
 def validation_rule_rows(rules: DataFrame, org: str) -> DataFrame:

@@ -118,6 +118,7 @@ def potential_entities(q: Column) -> tuple[Column, Column]:
     return F.array_distinct(F.concat(F.regexp_extract_all(q, F.lit("(?i)\\b(\\w+__c)\\b"), 1), capital)), F.array_distinct(F.concat(statuses, company, capital))
 
 
+# Wordings of a parent lookup and of a child list.
 _PARENT = ["(\\w+)\\s+with\\s+(?:their\\s+)?(\\w+)\\s+(?:name|id|details?|info(?:rmation)?)", "(\\w+)\\s+including\\s+(\\w+)\\s+(?:name|id|details?)", "(\\w+)\\s+and\\s+(?:their\\s+)?(\\w+)\\s+(?:name|id)"]
 _CHILD = ["(\\w+)\\s+that\\s+have\\s+(\\w+s)\\b", "(\\w+)\\s+with\\s+(?:their\\s+)?(?:all\\s+)?(\\w+s)\\b(?!\\s+(?:name|id|details?))", "(\\w+)\\s+and\\s+(?:their\\s+)?(\\w+s)\\b(?!\\s+(?:name|id))", "(\\w+)\\s+(?:including|showing)\\s+(?:all\\s+)?(?:related\\s+)?(\\w+s)\\b"]
 
@@ -137,14 +138,52 @@ def relationship_intents(q: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(*parts), lambda x: x["source"] != x["target"]))
 
 
+# Phrases that ask for the largest; phrases that name an order themselves; phrases that ask about all the data.
+LARGEST = ["top", "highest", "largest", "most"]
+ORDERED = ["order by", "sort by"]
+GLOBAL_PHRASES = ["overview", "summarize", "summary", "structure", "schema", "how is my data", "what objects", "top objects", "data model", "big picture", "all data", "trends"]
+
+
+def _holds(text: Column, phrases: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: text.contains(p))
+
+
 def order_and_limit(q: Column) -> tuple[Column, Column]:
-    """(order direction by amount or null, limit or null)."""
-    n = F.regexp_extract(q, "(?i)\\b(?:top|limit|first)\\s+(\\d+)\\b", 1).try_cast("int")
-    return F.when(q.rlike("(?i)\\b(top|highest|largest|most)\\b"), "DESC").when(q.rlike("(?i)\\b(lowest|smallest|least)\\b"), "ASC"), n
+    """(struct(field, direction) or null, limit or null). Opportunities asked
+    for by size go by amount, the largest first; an order in words is left alone."""
+    low = F.lower(q)
+    by = F.when(_holds(low, LARGEST) & ~_holds(low, ORDERED) & low.contains("opportunities"), F.struct(F.lit("Amount").alias("field"), F.lit("DESC").alias("direction")))
+    number = lambda word: F.nullif(F.regexp_extract(low, f"{word}\\s+(\\d+)", 1), F.lit("")).try_cast("int")
+    return by, F.coalesce(number("limit"), number("top"))
 
 
 def is_global(q: Column) -> Column:
-    return q.rlike("(?i)\\b(overview|summary|data model|schema|structure|architecture|all objects|main objects|how many objects)\\b")
+    return _holds(F.lower(q), GLOBAL_PHRASES)
+
+
+# Words of a question and the fields that they call for, on objects that have them.
+FIELD_WORDS = {
+    "phone": ["Phone"], "website": ["Website"], "email": ["Email"], "address": ["BillingAddress", "ShippingAddress", "MailingAddress"], "employee": ["NumberOfEmployees"],
+    "industry": ["Industry"], "revenue": ["AnnualRevenue"], "stage": ["StageName"], "probability": ["Probability"], "owner": ["OwnerId"], "account": ["AccountId"], "contact": ["ContactId"],
+    **{w: ["CreatedDate", "LastModifiedDate", "CloseDate"] for w in ("date", "when", "time", "year", "month", "created")}, "name": ["Name"],
+}
+OBJECT_FIELD_WORDS = {
+    "Contact": {"first name": ["FirstName"], "firstname": ["FirstName"], "last name": ["LastName"], "lastname": ["LastName"]},
+    "Opportunity": {w: ["Amount"] for w in ("amount", "value", "worth", "money", "dollar")},
+}
+
+
+def needed_fields(questions: DataFrame, fields: DataFrame) -> DataFrame:
+    """id, apiName: which proposed fields of questions (id, question, object,
+    proposed) a query needs: those that the question names, those that its
+    words call for, and Id; only fields that the object has."""
+    words = [(None, w, f) for w, fs in FIELD_WORDS.items() for f in fs] + [(o, w, f) for o, ws in OBJECT_FIELD_WORDS.items() for w, fs in ws.items() for f in fs] + [(None, "", "Id")]
+    table = questions.sparkSession.createDataFrame(words, "owner string, word string, apiName string")
+    low = F.lower("question")
+    called = questions.join(F.broadcast(table), low.contains(F.col("word")) & (F.col("owner").isNull() | (F.col("owner") == F.col("object")))).select("id", "object", "apiName")
+    named = questions.select("id", "object", "question", F.explode("proposed").alias("apiName")).where(low.contains(F.lower("apiName"))).select("id", "object", "apiName")
+    found = called.unionByName(named).distinct()
+    return found.join(fields.select(F.col("sobjectType").alias("object"), "apiName"), ["object", "apiName"], "left_semi").select("id", "apiName")
 
 
 def identify_objects(questions: DataFrame, objects: DataFrame, hits: DataFrame) -> DataFrame:
@@ -158,8 +197,12 @@ def identify_fields(questions: DataFrame, fields: DataFrame) -> DataFrame:
     return questions.join(F.broadcast(fields.select("sobjectType", "apiName", "label")), (F.col("object") == F.col("sobjectType")) & (q.contains(F.lower("apiName")) | q.contains(F.lower("label")))).select("id", "sobjectType", "apiName").distinct()
 
 
-def relationship_sketch(child: str, parent: str, kind: str) -> str:
-    """Dotted parent or child subquery text, with irregular plurals."""
-    irregular = {"Opportunity": "Opportunities", "Case": "Cases", "Person": "People"}
-    plural = irregular.get(child) or (child[:-1] + "ies" if child.endswith("y") else child + ("es" if child.endswith(("s", "x", "ch")) else "s"))
-    return f"SELECT Id, {parent}.Name FROM {child}" if kind == "parent_lookup" else f"SELECT Id, Name, (SELECT Id FROM {plural}) FROM {parent}"
+# Child lists whose names aren't the object's with an s.
+CHILD_LISTS = {"Opportunity": "Opportunities", "Product2": "Products"}
+
+
+def relationship_sketch(source: str, target: str, kind: str) -> str:
+    """A query for a relationship: the target as a dotted parent, or as a child list of the source."""
+    if kind == "parent_lookup":
+        return f"SELECT Id, {target}.Name FROM {source}"
+    return f"SELECT Id, Name, (SELECT Id FROM {CHILD_LISTS.get(target, target + 's')}) FROM {source}"

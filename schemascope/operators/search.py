@@ -2,13 +2,68 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, log_score, normalised, variants
+from ..functions.text import SYNONYMS, jaccard, log_score, normalised, variants
 from ..functions.vectors import cosine
 
 
+def synonyms(spark) -> DataFrame:
+    """apiName, word of the table of business words."""
+    return spark.createDataFrame([(o, w) for o, ws in SYNONYMS.items() for w in ws], "apiName string, word string")
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", most_queries: int = 100_000) -> DataFrame:
+    """query, key, score, rank: the k nearest rows by cosine to each query
+    (query, embedding), ties by key; scores are rounded to nine digits.
+
+    Queries go in blocks to every part of the rows, which gives each query's k
+    best of that part; only those are shuffled. A block of queries is a matrix
+    of bounded size; the rows are never collected.
+    """
+    import numpy as np
+    import pandas as pd
+
+    n = queries.count()
+    kind, width = queries.schema["query"].dataType.simpleString(), 2048
+    own = vectors.schema[key].dataType.simpleString()
+    schema = f"query {kind}, {key} {own}, score double"
+
+    def block_best(ids: list, matrix):
+        def best(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                rows = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+                norms = np.linalg.norm(rows, axis=1)
+                scores = np.round(np.divide(matrix @ rows.T, norms, out=np.zeros((len(matrix), len(rows))), where=norms > 0), 9)
+                names, out = pdf[key].to_numpy(), []
+                for q, s in zip(ids, scores, strict=True):
+                    at = np.lexsort((names, -s))[:k]
+                    out.append(pd.DataFrame({"query": q, key: names[at], "score": s[at]}))
+                yield pd.concat(out)
+
+        return best
+
+    if n > most_queries:
+        raise ValueError(f"{n} queries; split them into parts of at most {most_queries}")
+    found = None
+    asked = queries.select("query", vector).orderBy("query").toLocalIterator()
+    while block := list(itertools.islice(asked, width)):
+        matrix = np.array([r[vector] for r in block], dtype=np.float64)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+        part = vectors.select(key, vector).mapInPandas(block_best([r["query"] for r in block], matrix), schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], schema)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, query: Column, k: int, key: str, vector: str = "embedding", least: float | None = None, where: Column | None = None, post_filter: bool = False) -> DataFrame:
     """The k nearest by cosine, filter first; ``post_filter`` filters what the k nearest leave."""
     x = vectors if where is None or post_filter else vectors.where(where)
@@ -18,20 +73,26 @@ def top_k(vectors: DataFrame, query: Column, k: int, key: str, vector: str = "em
     return x if least is None else x.where(F.col("score") >= least)
 
 
-def similarity(candidates: DataFrame, vectors: DataFrame, query: Column, key: str, vector: str = "embedding") -> DataFrame:
-    """key, score of every candidate; 0 without a vector."""
+def bounded(queries: DataFrame, most: int = 100_000) -> DataFrame:
+    """A query set marked for broadcast, if it has at most ``most`` rows; a larger one is left to Spark."""
+    return F.broadcast(queries) if queries.limit(most + 1).count() <= most else queries
+
+
+def similarity(candidates: DataFrame, vectors: DataFrame, query: Column, key: str, vector: str = "embedding", also: list[str] = ()) -> DataFrame:
+    """key, score of every candidate, and its columns ``also``; 0 without a vector."""
     x = candidates.join(vectors, key, "left")
-    return x.select(key, F.coalesce(cosine(F.col(vector), query), F.lit(0.0)).alias("score"))
+    return x.select(key, *also, F.coalesce(cosine(F.col(vector), query), F.lit(0.0)).alias("score"))
 
 
-def scoped_fields(vectors: DataFrame, query: Column, table: str, key: str, vector: str = "embedding", most: int = 500, least: float = 0.3, core: list[str] = (), cap: int = 15) -> DataFrame:
+def scoped_fields(vectors: DataFrame, query: Column, table: str | list[str], key: str, vector: str = "embedding", most: int = 500, least: float = 0.3, core: list[str] = (), cap: int = 15) -> DataFrame:
     """For each table its core fields and then the best ones, ``cap`` at most."""
+    by = [table] if isinstance(table, str) else table
     x = vectors.withColumn("score", cosine(F.col(vector), query))
-    w = Window.partitionBy(table).orderBy(F.desc("score"), key)
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), key)
     best = x.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= most) & (F.col("score") >= least))
-    ranked = best.where(F.col("rank") <= cap).groupBy(table).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", key))), lambda s: s[key].cast("string")).alias("found"))
-    tables = vectors.select(table).distinct().join(ranked, table, "left")
-    return tables.select(table, F.slice(F.array_union(F.array(*[F.lit(c) for c in core]).cast("array<string>"), F.coalesce("found", F.array().cast("array<string>"))), 1, cap).alias("fields"))
+    ranked = best.where(F.col("rank") <= cap).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", key))), lambda s: s[key].cast("string")).alias("found"))
+    tables = vectors.select(*by).distinct().join(ranked, by, "left")
+    return tables.select(*by, F.slice(F.array_union(F.array(*[F.lit(c) for c in core]).cast("array<string>"), F.coalesce("found", F.array().cast("array<string>"))), 1, cap).alias("fields"))
 
 
 def max_scores(scored: DataFrame, key: str) -> DataFrame:
@@ -55,17 +116,22 @@ def first_tier(found: DataFrame) -> DataFrame:
     return found.join(F.broadcast(found.agg(F.min("tier").alias("tier"))), "tier")
 
 
-def search(objects: DataFrame, synonyms: DataFrame, terms: DataFrame, vector_hits: DataFrame | None = None, key: str = "apiName") -> DataFrame:
+def search(objects: DataFrame, words_of: DataFrame | None, terms: DataFrame, vector_hits: DataFrame | None = None, key: str = "apiName") -> DataFrame:
     """term, key, tier, confidence: exact label, exact name, variants and synonyms (0.85), vectors; the lowest tier of each term.
 
-    synonyms: key, word. vector_hits: term, key, score.
+    words_of: key, word; the table of business words if none is given.
+    vector_hits: term, key, score.
     """
+    if words_of is None:
+        words_of = synonyms(objects.sparkSession).withColumnRenamed("apiName", key)
     o = objects.select(key, normalised(F.col("label")).alias("l"), normalised(F.col(key)).alias("n"), normalised(F.regexp_replace(key, "__c$", "")).alias("b"))
     t = terms.select("term", normalised(F.col("term")).alias("t"))
-    hit = lambda on, tier, score: t.join(F.broadcast(o), on).select("term", key, F.lit(tier).alias("tier"), F.lit(score).alias("confidence"))
+    # terms are few, whatever the catalog holds
+    t = F.broadcast(t)
+    hit = lambda on, tier, score: o.join(t, on).select("term", key, F.lit(tier).alias("tier"), F.lit(score).alias("confidence"))
     v = terms.select("term", F.explode(variants(F.col("term"))).alias("v")).distinct()
-    near = v.join(F.broadcast(o), (F.col("v") == F.col("l")) | (F.col("v") == F.col("n"))).select("term", key)
-    words = v.join(F.broadcast(synonyms), F.col("v") == F.col("word")).select("term", key)
+    near = o.join(F.broadcast(v), (F.col("v") == F.col("l")) | (F.col("v") == F.col("n"))).select("term", key)
+    words = v.join(F.broadcast(words_of), F.col("v") == F.col("word")).select("term", key).join(o.select(key), key, "left_semi").select("term", key)
     found = hit(F.col("t") == F.col("l"), 0, 1.0).unionByName(hit((F.col("t") == F.col("n")) | (F.col("t") == F.col("b")), 1, 0.95)).unionByName(near.unionByName(words).distinct().select("term", key, F.lit(2).alias("tier"), F.lit(0.85).alias("confidence")))
     if vector_hits is not None:
         found = found.unionByName(vector_hits.where("score >= 0.5").select("term", key, F.lit(3).alias("tier"), F.col("score").alias("confidence")))
@@ -86,6 +152,6 @@ def hash_embedding(text: Column, width: int = 64) -> Column:
 
 
 def format_examples(examples: DataFrame) -> DataFrame:
-    """id and a numbered block of each example (id, question, soql)."""
+    """id and a numbered block of each example (id, question, soql); those that go into a prompt, so few."""
     w = Window.orderBy("id")
     return examples.select("id", F.format_string("Example %d:\nQuestion: %s\nSOQL: %s", F.row_number().over(w), "question", "soql").alias("block"))

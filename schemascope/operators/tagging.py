@@ -100,10 +100,39 @@ def anti_patterns(objects: DataFrame, question: Column) -> DataFrame:
     return objects.select("apiName", "category", F.explode(found).alias("w")).select("apiName", "category", "w.warning", "w.severity")
 
 
-#: Query templates by category; the rest use the first.
-TEMPLATES = {"business_core": "SELECT Id, Name FROM {object} WHERE Name LIKE '{value}%'", "business_extended": "SELECT Id, Name, {field} FROM {object} WHERE {field} = '{value}'", "system": "SELECT Id FROM {object} WHERE CreatedDate = TODAY", "custom_metadata": "SELECT DeveloperName, MasterLabel FROM {object}"}
-
-
-def soql_pattern(category: Column, name: Column, value: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in TEMPLATES.items() for x in kv])
-    return F.replace(F.replace(F.coalesce(F.element_at(table, category), F.lit(TEMPLATES["business_core"])), F.lit("{object}"), name), F.lit("{value}"), value)
+# Query and filter templates by category.
+TEMPLATES = {
+    "business_core": "SELECT Id, Name, {fields} FROM {object} WHERE {filter}",
+    "business_extended": "SELECT Id, Name, {lookupField} FROM {object} WHERE {lookupField} = '{lookupValue}'",
+    "system": "SELECT Id, {fields} FROM {object} WHERE CreatedDate = TODAY",
+    "system_derived": "SELECT Id, ParentId, {fields} FROM {object}Feed WHERE ParentId = '{parentId}'",
+    "managed_package": "SELECT Id, Name, {namespace}__{field} FROM {namespace}__{object}",
+    "custom_metadata": "SELECT Id, DeveloperName, MasterLabel, {fields} FROM {object}",
+    "platform_event": "// Platform Events are published, not queried",
+    "big_object": "SELECT Id, {fields} FROM {object} WHERE {indexedField} = '{value}'",
+    "external_object": "SELECT Id, ExternalId, {fields} FROM {object}",
+    "lifecycle": "{field} = '{value}'",
+    "user_context": "OwnerId = '{userId}' OR OwnerId IN (SELECT Id FROM User WHERE {filter})",
+    "temporal": "{field} {operator} {date_literal}",
+    "financial": "{field} {operator} {value}",
+    "identity": "Id = '{recordId}' OR Id IN ({subquery})",
+    "content": "SELECT Id, Title, {fields} FROM ContentDocument WHERE {filter}",
+}
+
+
+def soql_pattern(category: Column, **values: Column) -> Column:
+    """The category's template with its placeholders filled from ``values``;
+    others stay. Null for an unknown category."""
+    out = F.element_at(F.create_map(*[F.lit(x) for kv in TEMPLATES.items() for x in kv]), category)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
+def tag_all(objects: DataFrame, refs: DataFrame, table: DataFrame) -> DataFrame:
+    """category, objects, primaries, unassigned: what tagging all objects gave,
+    one row for each category and one, with a null category, for objects without any."""
+    tagged = tag_objects(objects, refs, table)
+    by = tagged.groupBy("category").agg(F.count("*").alias("objects"), F.count_if(F.col("rank") == 1).alias("primaries"))
+    rest = objects.join(tagged, "apiName", "left_anti").agg(F.count("*").alias("objects"))
+    return by.unionByName(rest.select(F.lit(None).cast("string").alias("category"), "objects", F.lit(0).cast("long").alias("primaries")))

@@ -40,6 +40,8 @@ class Object:
     children: dict[str, tuple[str, str]] = field(default_factory=dict)
     polymorphic: dict[str, Polymorphic] = field(default_factory=dict)
     labels: dict[str, dict[str, str]] = field(default_factory=dict)
+    #: Column with the currency code of a row's amounts.
+    currency: str | None = None
 
 
 class Records:
@@ -103,12 +105,22 @@ _DATE_PARTS = {
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, records: Records, as_of: dt.date | None = None, fiscal_start: int = 1, week_start: int = 0, ignore_case: bool = False, rates: dict[str, float] | None = None):
+    """``rates``: worth of one unit of each currency code in the reader's own,
+    for CONVERTCURRENCY; ``timezone``: the reader's, for CONVERTTIMEZONE, whose
+    values are UTC. Without them these two functions are errors."""
+
+    def __init__(self, spark: SparkSession, records: Records, as_of: dt.date | None = None, fiscal_start: int = 1, week_start: int = 0, ignore_case: bool = False, rates: dict[str, float] | None = None, timezone: str | None = None):
+        self.rates, self.timezone, self.views = rates, timezone, []
         self.spark, self.records, self.as_of = spark, records, as_of or dt.date.today()
         self.fiscal_start, self.week_start, self.ignore_case = fiscal_start, week_start, ignore_case
 
     def run(self, query: str | Query) -> DataFrame:
-        return _Plan(self, parse(query) if isinstance(query, str) else query).frame()
+        try:
+            return _Plan(self, parse(query) if isinstance(query, str) else query).frame()
+        finally:
+            # analysed plans hold what the views stand for
+            while self.views:
+                self.spark.catalog.dropTempView(self.views.pop())
 
 
 class _Plan:
@@ -187,9 +199,19 @@ class _Plan:
             labels = _get(o.labels, path.parts[-1]) or {}
             col = self.value(path)
             return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in labels.items() for v in kv]), col), col) if labels else col
-        if name in ("FORMAT", "CONVERTCURRENCY", "CONVERTTIMEZONE"):
-            inner = self.value(x.args[0])
-            return inner.cast("string") if name == "FORMAT" else inner
+        if name == "FORMAT":
+            return self.value(x.args[0]).cast("string")
+        if name == "CONVERTCURRENCY":
+            path, inner = self._own(x.args[0].parts), self.value(x.args[0])
+            alias, o = self.prefixes[tuple(p.lower() for p in path[:-1])]
+            if not self.c.rates or o.currency is None:
+                raise LookupError(f"no exchange rates for {x.args[0]}")
+            rate = F.element_at(F.create_map(*[F.lit(v) for kv in self.c.rates.items() for v in kv]), self.column(o, alias, o.currency))
+            return inner * rate
+        if name == "CONVERTTIMEZONE":
+            if self.c.timezone is None:
+                raise LookupError("no time zone to convert to")
+            return F.convert_timezone(F.lit("UTC"), F.lit(self.c.timezone), self.value(x.args[0]).cast("timestamp_ntz"))
         raise LookupError(f"no function {x.name}")
 
     def aggregate(self, x: Call) -> Column:
@@ -247,6 +269,7 @@ class _Plan:
             inner = _Plan(self.c, x.query).frame()
             view = f"soql_in_{next(_views)}"
             inner.toDF("v").createOrReplaceTempView(view)
+            self.c.views.append(view)
             name = self._named(left)
             return F.expr(f"`{name}` {x.op} (SELECT v FROM {view})")
         plain = [v.value for v in x.values if v.kind != "null"]

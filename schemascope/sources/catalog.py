@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,45 +184,39 @@ HANDLERS = {
 }
 
 
-def _page_parts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from html.parser import HTMLParser
-
-    class Parts(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.title, self.head, self.paragraph, self.rows, self.at, self.cell = "", "", "", [], "", None
-
-        def handle_starttag(self, tag, attrs):
-            if tag in ("title", "h1", "p"):
-                self.at = tag
-            elif tag == "tr":
-                self.rows.append([])
-            elif tag in ("td", "th") and self.rows:
-                self.rows[-1].append("")
-                self.at = "cell"
-
-        def handle_endtag(self, tag):
-            self.at = "" if tag in ("title", "h1", "p", "td", "th") else self.at
-
-        def handle_data(self, data):
-            if self.at == "title":
-                self.title += data
-            elif self.at == "h1":
-                self.head += data
-            elif self.at == "p" and len(self.paragraph) < 1000:
-                self.paragraph += data
-            elif self.at == "cell":
-                self.rows[-1][-1] += data
-
-    for pdf in batches:
-        out = []
-        for url, page in zip(pdf["url"], pdf["html"], strict=True):
-            p = Parts()
-            p.feed(page or "")
-            out.append((url, p.title.strip(), p.head.strip(), len([r for r in p.rows if any(r)])))
-        yield pd.DataFrame(out, columns=["url", "title", "heading", "n_rows"])
+def _between(page, tag: str):
+    """Text of the first element of a tag, without markup; empty if there is none."""
+    inner = F.regexp_extract(page, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>", 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(inner, "<[^>]*>", ""), "&amp;", "&"))
 
 
 def page_documentation(pages: DataFrame) -> DataFrame:
-    """url, title, heading and number of table rows of documentation pages."""
-    return pages.select("url", "html").mapInPandas(_page_parts, "url string, title string, heading string, n_rows long")
+    """url, title, heading and number of table rows with cells of documentation pages."""
+    page = F.coalesce("html", F.lit(""))
+    rows = F.filter(F.regexp_extract_all(page, F.lit("(?is)<tr(?:\\s[^>]*)?>(.*?)</tr\\s*>"), 1), lambda r: F.length(F.trim(F.regexp_replace(r, "<[^>]*>", ""))) > 0)
+    return pages.select("url", _between(page, "title").alias("title"), _between(page, "h1").alias("heading"), F.size(rows).cast("long").alias("n_rows"))
+
+
+def object_describe(describes: DataFrame, name: str) -> DataFrame:
+    """name, label, keyPrefix, queryable of one object."""
+    return describes.where(F.lower("objectName") == name.lower()).select(F.col("objectName").alias("name"), F.coalesce("describe.label", "objectName").alias("label"), F.col("describe.keyPrefix").alias("keyPrefix"), F.coalesce("describe.queryable", F.lit(False)).alias("queryable"))
+
+
+def described(spark: SparkSession) -> DataFrame:
+    """The supplied tables' catalog as describe results."""
+    targets: dict[tuple[str, str], list[str]] = {}
+    for o, f, t, *_ in REFERENCES:
+        targets.setdefault((o, f), []).append(t)
+    relation = {(o, f): (rel, kind) for o, f, _, rel, _, kind in REFERENCES}
+    rows = []
+    for name, (_, key, label) in OBJECTS.items():
+        fields_ = []
+        for o, f, kind in FIELDS:
+            if o != name:
+                continue
+            rel, how = relation.get((o, f), (None, None))
+            picks = [{"value": v, "label": t, "active": v != "P"} for v, t in STATUS_LABELS.items()] + [{"value": "O", "label": "again"}] if f == "o_orderstatus" else None
+            fields_.append({"name": f, "label": None, "type": kind, "nillable": f != key, "unique": f == key, "referenceTo": targets.get((o, f), []), "relationshipName": rel, "relationshipOrder": 0 if how == "MasterDetail" else None, "picklistValues": picks, "controllerName": "o_orderstatus" if f == "o_orderpriority" else None})
+        children = [{"childSObject": o, "field": f, "relationshipName": child if o != "Label" else None, "cascadeDelete": True if kind == "MasterDetail" else None} for o, f, t, _, child, kind in REFERENCES if t == name]
+        rows.append({"objectName": name, "describe": {"name": name, "label": label, "keyPrefix": name[:3].lower(), "queryable": True, "fields": fields_, "childRelationships": children}, "_corrupt_record": None})
+    return spark.createDataFrame(rows, DESCRIBE).drop("_corrupt_record")
