@@ -28,10 +28,6 @@ def g01(spark, sf_dir):
     return graph.all_objects(C.objects(spark))
 
 
-@query("g16_status", f"WITH {_OBJECTS} SELECT count(*) > 0 AS populated, count(*) AS n FROM objs")
-def g16(spark, sf_dir):
-    return C.objects(spark).agg((F.count("*") > 0).alias("populated"), F.count("*").alias("n"))
-
 
 @query("p08_node_list", f"WITH {_REFS} SELECT lower(dst) AS id, min(CASE src WHEN 'Lineitem' THEN 1 ELSE 2 END) :: INTEGER AS depth FROM refs GROUP BY 1")
 def p08(spark, sf_dir):
@@ -96,16 +92,6 @@ def f18(spark, sf_dir):
     return known.select("sobjectType", F.explode(text.draft_columns(draft, F.col("k"))).alias("apiName"))
 
 
-@query("e02_batch_similarity", "SELECT v.vec_id, CASE WHEN v.vec_id % 3 = 0 THEN 0 ELSE round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / sqrt(list_sum(list_transform(v.embedding, lambda z: CAST(z AS DOUBLE) ** 2))) / sqrt(list_sum(list_transform(q.embedding, lambda z: CAST(z AS DOUBLE) ** 2))), 6) END AS score FROM embeddings v, embeddings q WHERE q.vec_id = 1")
-def e02(spark, sf_dir):
-    v = C.read(spark, sf_dir, "embeddings")
-    one = F.broadcast(v.where("vec_id = 1").select(F.col("embedding").alias("q")))
-    return search.similarity(v.select("vec_id").crossJoin(one), v.where("vec_id % 3 != 0"), F.col("q"), "vec_id").select("vec_id", F.round("score", 6).alias("score"))
-
-
-@query("e07_max_score", "SELECT label, max(vec_id) AS score FROM embeddings GROUP BY 1")
-def e07(spark, sf_dir):
-    return search.max_scores(C.read(spark, sf_dir, "embeddings").withColumn("score", F.col("vec_id")), "label")
 
 
 @query("e12_exact_index", f"WITH {_OBJECTS}, o AS (SELECT *, row_number() OVER (ORDER BY apiName) AS k FROM objs), n AS (SELECT lower(label) AS name, apiName, k FROM o UNION ALL SELECT lower(apiName), apiName, k FROM o) SELECT name, arg_min(apiName, k) AS apiName FROM n GROUP BY 1")
@@ -120,15 +106,6 @@ def c07(spark, sf_dir):
     return tagging.anti_patterns(o, F.lit("customer revenue")).select("apiName", "warning", "severity")
 
 
-@query("c08_soql_patterns", f"WITH {_OBJECTS} SELECT apiName, 'SELECT Id, Name FROM ' || apiName || ' WHERE Name LIKE ''x%''' AS soql FROM objs")
-def c08(spark, sf_dir):
-    return C.objects(spark).select("apiName", tagging.soql_pattern(F.lit("business_core"), F.col("apiName"), F.lit("x")).alias("soql"))
-
-
-@query("n02_suggested_filters", "SELECT o_orderkey, 'Amount >= ' || o_orderkey AS filter FROM orders")
-def n02(spark, sf_dir):
-    o = C.read(spark, sf_dir, "orders").select("o_orderkey", values.pattern(F.col("o_orderkey").cast("string")).alias("p"))
-    return o.select("o_orderkey", values.suggested_filter(F.col("p")).alias("filter"))
 
 
 @query("n04_object_grounding", f"WITH {_OBJECTS}, t(term) AS (VALUES ('order'), ('cust'), ('item')) SELECT term, CAST(CASE WHEN lower(apiName) = term THEN 0.95 WHEN starts_with(lower(apiName), term) THEN 0.85 ELSE 0.7 END AS DOUBLE) AS confidence, 'FROM ' || apiName AS filter FROM t JOIN objs ON contains(lower(apiName), term)")
@@ -143,11 +120,6 @@ def n06(spark, sf_dir):
     return c.select("category", values.category_weight(F.col("category")).alias("w"))
 
 
-@query("n10_entities")
-def n10(spark, sf_dir):
-    t = spark.createDataFrame([("BUILDING",), ("Globex",), ("qqq",), ("today",)], "term string")
-    return grounding.entities(t, grounding.ground(t, C.picklists(spark, sf_dir), C.objects(spark)))
-
 
 @query("l04_value_types", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'number' WHEN 'O' THEN 'boolean' ELSE 'date' END AS t FROM orders")
 def l04(spark, sf_dir):
@@ -155,15 +127,6 @@ def l04(spark, sf_dir):
     return C.read(spark, sf_dir, "orders").select("o_orderkey", values.value_type(v).alias("t"))
 
 
-@query("l12_global_intent", "SELECT conv_id, turn, regexp_matches(lower(text), '\\b(overview|summary|data model|schema|structure|architecture|all objects|main objects|how many objects)\\b') AS g FROM conversations")
-def l12(spark, sf_dir):
-    return C.read(spark, sf_dir, "conversations").select("conv_id", "turn", questions.is_global(F.col("text")).alias("g"))
-
-
-@query("l11_relationship_intents")
-def l11(spark, sf_dir):
-    q = spark.createDataFrame([(1, "contacts with their account name"), (2, "accounts that have contacts and their orders")], "id int, question string")
-    return q.select("id", F.explode(questions.relationship_intents(F.col("question"))).alias("x")).select("id", "x.*")
 
 
 @query("x01_matching_objects", f"WITH {_OBJECTS}, {_PICKS}, f AS (SELECT apiName, 'token' AS s FROM objs WHERE contains(lower(apiName), 'er') UNION SELECT objectApiName, 'picklist' FROM picks WHERE value = 'BUILDING') SELECT apiName, string_agg(s, ',' ORDER BY s) AS sources FROM f GROUP BY 1")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from schemascope import more_queries, queries  # noqa: F401
+from schemascope import more_queries, queries, rule_queries  # noqa: F401
 from schemascope.functions import naming, text, values
 from schemascope.operators import compare, context, graph, ingest, merge, questions, tagging
 from schemascope.sources import catalog as C
