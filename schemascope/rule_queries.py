@@ -6,6 +6,8 @@ from this library's tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import naming, text, values
@@ -13,6 +15,7 @@ from .operators import context, graph, grounding, ingest, merge, questions, refr
 from .plans import edit, validate
 from .plans.compile import Compiler, Object, Records
 from .plans.parser import find, is_valid, parse
+from .plans.staging import scratch_dir
 from .queries import _COS, _FIELDS, _OBJECTS, _PICKS, _REFS, AS_OF, _query_vectors, _sql_rows, query
 from .sources import catalog as C
 
@@ -269,6 +272,52 @@ def s05(spark, sf_dir):
     return C.record_types(t, "R2")
 
 
+def _written(spark, label: str) -> str:
+    """A place for a query's own files in the shared folder."""
+    return f"{scratch_dir(spark)}/schemascope/{label}-{uuid.uuid4().hex}"
+
+
+@query("s02_describe_scan", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'described' ELSE 'corrupt' END AS state FROM supplier")
+def s02_scan(spark, sf_dir):
+    path = _written(spark, "describes")
+    key = F.col("s_suppkey").cast("string")
+    good = F.to_json(F.struct(key.alias("objectName"), F.struct(key.alias("name")).alias("describe")))
+    C.read(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, good).otherwise(F.concat(key, F.lit(" {broken")))).write.text(path)
+    done, bad = C.read_describes(spark, path)
+    return done.select(F.col("objectName").cast("long").alias("id"), F.lit("described").alias("state")).unionByName(bad.select(F.split_part("_corrupt_record", F.lit(" "), F.lit(1)).cast("long").alias("id"), F.lit("corrupt").alias("state")))
+
+
+@query("s06_metadata_xml", "SELECT s_suppkey, s_name FROM supplier")
+def s06(spark, sf_dir):
+    path = _written(spark, "metadata")
+    C.read(spark, sf_dir, "supplier").select("s_suppkey", "s_name").write.format("xml").option("rowTag", "rule").save(path)
+    return C.read_metadata_xml(spark, path, "rule", "s_suppkey long, s_name string")
+
+
+@query("s09_passthrough", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+def s09(spark, sf_dir):
+    return C.run_sql(spark, {"nations": C.read(spark, sf_dir, "nation")}, "SELECT n_name, n_regionkey FROM nations WHERE n_regionkey = :region", {"region": 2})
+
+
+@query("s11_documentation", "SELECT n_name AS object, CASE WHEN n_regionkey = 1 THEN 'own' ELSE 'bundled' END AS text FROM nation")
+def s11(spark, sf_dir):
+    n = C.read(spark, sf_dir, "nation")
+    paths = {"own": n.where("n_regionkey = 1"), "bundled": n}
+    places = []
+    for text_, rows in paths.items():
+        places.append(_written(spark, text_))
+        rows.select(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("n_name").alias("object"), F.lit(text_).alias("text")))))).write.text(places[-1])
+    return C.read_documentation(spark, *places).select("object", "text")
+
+
+@query("s12_examples", "SELECT n_nationkey AS id, 'customers of ' || n_name AS question FROM nation")
+def s12(spark, sf_dir):
+    path = _written(spark, "examples")
+    n = C.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("customers of "), "n_name").alias("question"))
+    n.select(F.to_json(F.collect_list(F.struct("id", "question")))).write.text(path)
+    return C.read_examples(spark, path).select("id", "question")
+
+
 @query("s07_object_describe", _values("name, label, keyPrefix, queryable", [("Order", "Sales Order", "ord", True)]))
 def s07(spark, sf_dir):
     return C.object_describe(C.described(spark), "ORDER")

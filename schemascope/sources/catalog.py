@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.compile import Object, Polymorphic, Records
+from ..plans.staging import staged
 
 #: name -> (table, key, label)
 OBJECTS = {
@@ -129,7 +130,8 @@ def list_objects(listing: DataFrame, names: list[str] | None = None, categories:
 
 def read_describes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(describe rows, records that could not be parsed) of JSON lines."""
-    x = spark.read.schema(DESCRIBE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    # written once: both parts are read from it, and the files are parsed once
+    x = staged(spark.read.schema(DESCRIBE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path), "describes")
     return x.where("_corrupt_record is null").drop("_corrupt_record"), x.where("_corrupt_record is not null").select("_corrupt_record")
 
 
@@ -155,19 +157,34 @@ def read_metadata_xml(spark: SparkSession, path: str, row_tag: str, schema: str
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def read_documentation(spark: SparkSession, *paths: str) -> DataFrame:
-    """Bundled documentation, the first folder that has an object first."""
+def read_documentation(spark: SparkSession, *paths: str, key: str = "object") -> DataFrame:
+    """Documentation of each object, from the first of the folders that has it."""
     out = None
     for k, p in enumerate(paths):
         part = spark.read.option("multiLine", True).json(p).withColumn("rank", F.lit(k))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    first = out.groupBy(key).agg(F.min("rank").alias("rank"))
+    return out.join(first, [key, "rank"])
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def run_sql(spark: SparkSession, tables: dict[str, DataFrame], text: str, args: dict | None = None) -> DataFrame:
+    """A read-only SQL query over the named tables, with parameters (``:name``).
+    The views live only as long as the call; the plan keeps what they stand for."""
+    if not text.lstrip().upper().startswith(("SELECT", "WITH")):
+        raise ValueError("only queries that read")
+    for name, table in tables.items():
+        table.createOrReplaceTempView(name)
+    try:
+        return spark.sql(text, args=args or {})
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+
+
 def orgs(known: DataFrame, synced: DataFrame) -> DataFrame:
     """Known orgs with whether they are in the catalog."""
     s = synced.select("orgId", F.lit(True).alias("_in")).distinct()
