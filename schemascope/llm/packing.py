@@ -171,37 +171,46 @@ class Plan:
         return (s[:, 0] << _RANK) | s[:, 1], s[:, 1], s[:, 2], s[:, 3], s[:, 4]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, limit: int = 4096, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, limit: int = 4096, most_ranked: int = 1 << 20) -> DataFrame:
     """Place every document's pieces in sequences of at most ``limit`` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     Null and empty texts give one piece, the end id alone. Repeated rows are
-    packed each for itself. Other columns are ignored; an empty table gives no
-    rows. Which of several pieces of one length takes which place is fixed by
+    packed each for itself, very long texts in pieces. Other columns, of any
+    name, are ignored; an empty table gives no rows. Which of several pieces of one length takes which place is fixed by
     an id given when the pieces are staged.
 
-    Only the histogram (``limit`` lengths by ``salts``) reaches the driver and
-    only the plan made from it is broadcast; neither grows with the documents.
-    A length that holds many pieces is ranked in ``salts`` parts.
+    Pieces of one length are ranked in parts of at most about ``most_ranked``
+    pieces or a 256th of all. Only the counts by length and part reach the
+    driver, and they are broadcast with the plan made from them: ``limit`` and
+    256 rows, and one more for each ``most_ranked`` pieces.
     """
     path = tokenizer or tokens.default_tokenizer()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     cut = rows.mapInArrow(lambda it: tokens.pieces(it, path, end_id, limit), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     staged = stage(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    salted = staged.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().collect()
-    by = np.zeros((limit + 1, salts), dtype=np.int64)
-    for length, salt, n in counts:
-        by[length, salt] = n
-    plan = Plan({n: int(c) for n, c in enumerate(by.sum(axis=1)) if c}, limit)
-    shared = rows.sparkSession.sparkContext.broadcast((np.cumsum(by, axis=1) - by, *plan.arrays()))
+    histogram = {n: c for n, c in staged.groupBy("length").count().collect()}
+    each_part = max(1, min(most_ranked, max(1024, sum(histogram.values()) // 256)))
+    parts = np.zeros(limit + 2, dtype=np.int64)
+    for n, c in histogram.items():
+        parts[n] = -(-c // each_part)
+    place_of = np.cumsum(parts) - parts
+    table = rows.sparkSession.createDataFrame([(n, int(parts[n])) for n in histogram], "length long, parts int")
+    salted = staged.join(F.broadcast(table), "length").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    by = np.zeros(int(parts.sum()), dtype=np.int64)
+    for length, salt, n in salted.groupBy("length", "salt").count().collect():
+        by[place_of[length] + salt] = n
+    before = np.cumsum(by) - by
+    before -= np.repeat(before[place_of[parts > 0]], parts[parts > 0])
+    plan = Plan(histogram, limit)
+    shared = rows.sparkSession.sparkContext.broadcast((place_of, before, *plan.arrays()))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, keys, start, each, first, offset = shared.value
+        places, base, keys, start, each, first, offset = shared.value
         for b in batches:
             length, salt, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "salt", "rank"))
-            rank = rank.astype(np.int64) - 1 + base[length, salt]
+            rank = rank.astype(np.int64) - 1 + base[places[length] + salt]
             at = np.searchsorted(keys, (length << _RANK) | rank, side="right") - 1
             past = rank - start[at]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(first[at] + past // each[at]), pa.array(offset[at] + past % each[at] * length)], [*b.schema.names[:5], "sequence_id", "offset"])
