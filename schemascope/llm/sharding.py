@@ -75,7 +75,7 @@ def admit(wanted: list[tuple], load: np.ndarray, cap: np.ndarray) -> list[tuple]
     return granted
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", link_key=None, rounds: int = 12, salts: int = 256, buckets: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", link_key=None, rounds: int = 12, salts: int = 256, buckets: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot for every row, under the law ``rows``.
 
     ``link_key``: a column expression; rows with equal keys are linked, by
@@ -83,17 +83,20 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     linked. Groups larger than a shard are spread over as few shards as hold
     them. Rounds end when no cut group finds room as a whole, or at ``rounds``.
     With fewer rows than shards some shards stay empty; an empty
-    table gives no rows. Other columns are ignored.
+    table gives no rows. Very long texts are read whole. Other columns, of any
+    name, are ignored.
 
     The driver sees counts by shard and hash bucket (bounded by
     ``shards ** 2 * buckets``) and the units of large keys (by ``8 * shards *
-    salts``) only; ranks are found within buckets.
+    salts``) only; ranks are found within buckets. ``buckets`` is 1024, or one
+    for each million rows if that is more.
     """
     text = text_or_empty(text_col)
     key = F.unhex(F.md5(text.cast("binary"))) if link_key is None else link_key
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"))
     rows = stage(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int")), "rows")
     total = rows.count()
+    buckets = buckets or max(1024, total >> 20)
     cap = np.array([total // shards + (s < total % shards) for s in range(shards)])
 
     units = rows.groupBy("key", "salt").agg(F.count("*").alias("n"))
