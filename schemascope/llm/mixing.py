@@ -19,27 +19,28 @@ from pyspark.sql import functions as F
 
 from .common import release, stage
 
-_SPACE = "[ \\t-\\r]+"
+_BETWEEN = "[^\\p{L}\\p{N}]+"
 
 
 def features(text: Column) -> Column:
-    """n, the text's words (split on ASCII white space); words, its distinct
-    lower-cased runs of letters and digits, and a few marks of its shape as
-    words with a leading blank."""
-    def of(n: Column, words: Column) -> Column:
-        different = F.array_distinct(words)
-        odd = F.length(F.regexp_replace(text, "[\\p{L}\\p{N}\\s]+", ""))
-        upper = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
+    """n, the text's words, lower-cased runs of letters and digits; words, the
+    distinct ones, and a few marks of the text's shape as words with a leading
+    blank: how many characters for each word lie between words, beyond one."""
+    # lambdas share no subexpressions: what is used twice is a field of a struct
+    def counted(words: Column) -> Column:
+        odd = F.length(text) - F.length(F.array_join(words, "")) - F.size(words)
+        return F.struct(F.size(words).alias("n"), F.array_distinct(words).alias("words"), odd.alias("odd"), F.length(F.regexp_replace(text, "[^A-Z]+", "")).alias("upper"))
+
+    def of(x: Column) -> Column:
         shape = F.array_compact(F.array(
-            *[F.when(100 * odd > share * F.length(text), F.lit(f" odd {share}")) for share in (5, 10, 20)],
-            F.when(100 * F.size(different) < 40 * F.least(F.size(words), F.lit(400)), F.lit(" repeats")),
-            F.when(2 * upper > F.length(text), F.lit(" capitals")),
+            *[F.when(10 * x["odd"] > share * x["n"], F.lit(f" odd {share}")) for share in (3, 6, 10, 20)],
+            F.when(100 * F.size(x["words"]) < 40 * F.least(x["n"], F.lit(400)), F.lit(" repeats")),
+            F.when(2 * x["upper"] > F.length(text), F.lit(" capitals")),
         ))
-        return F.struct(n.cast("long").alias("n"), F.concat(different, shape).alias("words"))
+        return F.struct(x["n"].cast("long").alias("n"), F.concat(x["words"], shape).alias("words"))
 
-    plain = lambda pattern: F.filter(F.split(F.lower(text), pattern), lambda w: w != "")
-    both = F.struct(F.size(plain(_SPACE)).alias("n"), plain("[^\\p{L}\\p{N}]+").alias("words"))
-    return F.element_at(F.transform(F.array(both), lambda x: of(x["n"], x["words"])), 1)
+    words = F.filter(F.split(F.lower(text), _BETWEEN), lambda w: w != "")
+    return F.element_at(F.transform(F.transform(F.array(words), counted), of), 1)
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", most_labelled: int = 20_000, vocabulary: int = 256, penalty: float = 0.1) -> tuple[list[str], dict[str, list[float]], list[float]]:
@@ -83,7 +84,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
 
 
 def posteriors(texts: Column, model: tuple) -> Column:
-    """A struct of ``tokens`` (words) and ``p`` (a posterior for each domain)."""
+    """A struct of ``tokens`` (words: runs of letters and digits) and ``p`` (a posterior for each domain)."""
     domains, weights, start = model
     lit = lambda v: F.array(*[F.lit(float(a)) for a in v])
 
