@@ -88,24 +88,27 @@ def default_rules() -> dict[str, Column]:
     }
 
 
-def ordered_rules(figured: DataFrame, rules: Mapping[str, Column], sample_rows: int = 2000, repeats: int = 3, tie: float = 1.5) -> list[tuple[str, float, float]]:
+def ordered_rules(docs: DataFrame, rules: Mapping[str, Column], text_col: str = "text", sample_rows: int = 2000, repeats: int = 2, tie: float = 1.5) -> list[tuple[str, float, float]]:
     """(name, seconds a row, share rejected) of each rule on a sample, by rejection per cost, most first.
 
-    The sample is at most four times ``sample_rows`` documents spread over the
-    whole input by hash; it sets the order alone, and the verdict doesn't
+    The sample is about ``sample_rows`` documents drawn from the whole input,
+    copies each for itself; it sets the order alone, and the verdict doesn't
     depend on the order. Each rule runs over the sample so many times within
-    one job that jobs are of about one size, once to warm up and then
-    ``repeats`` times in turns with the others; its least time counts, less
-    that of an empty rule. Rules whose rejection per cost is within a factor
+    one job that it sees ``sample_rows`` documents at least, once to warm up
+    and then ``repeats`` times in turns with the others; its least time counts,
+    less that of an empty rule. Rules whose rejection per cost is within a factor
     of ``tie`` of the best that is left go by name, so that the order repeats.
     """
-    total = figured.count()
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    total = texts.count()
     if not total:
         return [(k, 0.0, 0.0) for k in sorted(rules)]
-    part = max(1, -(-total // sample_rows))
-    sample = figured.drop("_row").where(F.pmod(F.xxhash64("_text"), F.lit(part)) == 0).limit(4 * sample_rows).cache()
+    # drawn before any figure is made
+    drawn = texts.sample(fraction=min(1.0, sample_rows / total), seed=7) if total > sample_rows else texts
+    # one small partition, so that a job's time is the rule's
+    sample = with_figures(drawn).drop("_row").repartition(1).cache()
     n = max(1, sample.count())
-    times = max(2, -(-4 * sample_rows // n))
+    times = -(-sample_rows // n)
     again = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(times))))
 
     def timed(rule: Column) -> tuple[float, float]:
@@ -150,7 +153,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: Mapping[str, Column] |
     added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"}
     x = with_figures(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text_col or c.lower() not in added]), text_col)
     if order is None:
-        order = [k for k, _, _ in ordered_rules(with_figures(docs.select(F.col(f"`{text_col}`")), text_col), rules, sample_rows)]
+        order = [k for k, _, _ in ordered_rules(docs, rules, text_col, sample_rows)]
     rejected = F.when(base_failed(), F.lit("base")).otherwise(cascade(order, rules))
     out = x.select("_row.*", *[F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed().alias("base_failed"), rejected.alias("rejected_by"))
     return out.withColumn("kept", F.col("rejected_by").isNull())

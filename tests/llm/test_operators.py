@@ -122,7 +122,7 @@ def test_quality_figures_and_cascade(spark, docs):
     rules = quality.default_rules()
     for order in (list(rules), list(rules)[::-1]):
         assert {r.doc_id: r.kept for r in quality.judge(docs, order=order).collect()} == base
-    order = quality.ordered_rules(quality.with_figures(docs), rules)
+    order = quality.ordered_rules(docs, rules)
     assert sorted(x[0] for x in order) == sorted(rules)
     gains = [share / cost for _, cost, share in order]
     assert all(a * 1.5 >= b for i, a in enumerate(gains) for b in gains[i + 1 :])
@@ -132,7 +132,7 @@ def test_quality_order_repeats_and_columns_stay(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(("word", "other", "thing", "###" if i % 5 == 0 else "plain", "LOUD" if i % 3 == 0 else "calm")) + str(rng.randrange(40)) for _ in range(150))) for i in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_meta", F.lit(1)).withColumn("_text", F.lit("x")).withColumn("a.b", F.lit(2)).withColumn("Kept", F.lit("old")).cache()
-    orders = {tuple(x[0] for x in quality.ordered_rules(quality.with_figures(docs), {k: quality.default_rules()[k] for k in ("symbols", "few_letters", "capitals")})) for _ in range(3)}
+    orders = {tuple(x[0] for x in quality.ordered_rules(docs, {k: quality.default_rules()[k] for k in ("symbols", "few_letters", "capitals")})) for _ in range(3)}
     assert len(orders) == 1
     got = quality.judge(docs, order=["symbols"])
     assert got.columns[:5] == ["doc_id", "text", "_meta", "_text", "a.b"] and got.columns.count("kept") == 1 and "Kept" not in got.columns
