@@ -294,6 +294,12 @@ def s06(spark, sf_dir):
     return C.read_metadata_xml(spark, path, "rule", "s_suppkey long, s_name string")
 
 
+@query("s08_execution", "SELECT count(*) AS totalSize, true AS done, sum(c_custkey) :: BIGINT AS keys FROM customer WHERE c_acctbal > 0")
+def s08(spark, sf_dir):
+    found = Compiler(spark, C.records(spark, sf_dir), AS_OF).run("SELECT c_custkey FROM Customer WHERE c_acctbal > 0")
+    return found.agg(F.count("*").alias("totalSize"), F.lit(True).alias("done"), F.sum("c_custkey").alias("keys"))
+
+
 @query("s09_passthrough", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
 def s09(spark, sf_dir):
     return C.run_sql(spark, {"nations": C.read(spark, sf_dir, "nation")}, "SELECT n_name, n_regionkey FROM nations WHERE n_regionkey = :region", {"region": 2})
@@ -355,6 +361,12 @@ def t02(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in _NAMES], "name string").select(n, naming.namespace(n).alias("namespace"), naming.parent_name(n).alias("parent"))
 
 
+@query("t03_parent_names", "SELECT p_partkey, p_brand AS parent FROM part")
+def t03(spark, sf_dir):
+    suffix = F.when(F.col("p_size") < 20, "Feed").when(F.col("p_size") < 35, "ChangeEvent").otherwise("Share")
+    return C.read(spark, sf_dir, "part").select("p_partkey", naming.parent_name(F.concat("p_brand", suffix)).alias("parent"))
+
+
 @query("t04_field_categories", f"WITH {_FIELDS}, n AS (SELECT DISTINCT apiName FROM flds UNION ALL SELECT * FROM (VALUES ('Amount__c'), ('ns__Amount__c'), ('Parent__r'))) SELECT apiName, CASE WHEN ends_with(apiName, '__c') THEN 'custom' ELSE 'standard' END AS category, CASE WHEN apiName = 'ns__Amount__c' THEN 'ns' END AS namespace FROM n")
 def t04(spark, sf_dir):
     n = F.col("apiName")
@@ -647,6 +659,11 @@ def f21(spark, sf_dir):
     return x.select("kind", naming.display_name(F.col("kind")).alias("name"))
 
 
+@query("f22_lookup_names", "SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS n FROM supplier")
+def f22(spark, sf_dir):
+    return C.read(spark, sf_dir, "supplier").select("s_suppkey", text.normalised(F.col("s_name")).alias("n"))
+
+
 @query("e04_indexes", _values("name, label, dimensions, similarity", [("fields", "Field", 64, "cosine"), ("objects", "Object", 64, "cosine")]))
 def e04(spark, sf_dir):
     v = store.prepare_objects(C.objects(spark)).select(search.hash_embedding(F.col("text")).alias("embedding"))
