@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def compare_fields(a: DataFrame, b: DataFrame) -> DataFrame:
     """sobjectType, apiName, difference, sourceType, targetType of fields that differ; objects in both orgs only."""
     both = a.select("sobjectType").distinct().join(b.select("sobjectType").distinct(), "sobjectType")
-    x = a.select("sobjectType", "apiName", F.col("type").alias("sourceType")).join(b.select("sobjectType", "apiName", F.col("type").alias("targetType")), ["sobjectType", "apiName"], "full_outer").join(F.broadcast(both), "sobjectType", "left_semi")
+    x = a.select("sobjectType", "apiName", F.col("type").alias("sourceType")).join(b.select("sobjectType", "apiName", F.col("type").alias("targetType")), ["sobjectType", "apiName"], "full_outer").join(both, "sobjectType", "left_semi")
     diff = F.when(F.col("targetType").isNull(), "only_in_source").when(F.col("sourceType").isNull(), "only_in_target").when(F.col("sourceType") != F.col("targetType"), "type_mismatch")
     return x.withColumn("difference", diff).where("difference is not null").select("sobjectType", "apiName", "difference", "sourceType", "targetType")
 

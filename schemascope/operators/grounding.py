@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..plans.staging import bounded
 
 
 def by_pattern(terms: DataFrame) -> DataFrame:
@@ -18,10 +19,10 @@ def by_picklist(terms: DataFrame, picklists: DataFrame, categories: DataFrame |
     p = picklists.where("isActive").select("objectApiName", "fieldApiName", "value", F.lower("value").alias("v"))
     t = terms.select("term", F.lower(F.trim("term")).alias("t")).where("t != ''")
     score = F.when(F.col("v") == F.col("t"), 1.0).when(F.col("v").startswith(F.col("t")), 0.9).otherwise(0.7)
-    # the terms of a question are few; the values come from data columns
-    x = p.join(F.broadcast(t), F.col("v").contains(F.col("t"))).withColumn("score", score)
+    # the values come from data columns, so the terms are the side to send
+    x = p.join(bounded(t), F.col("v").contains(F.col("t"))).withColumn("score", score)
     if categories is not None:
-        x = x.join(F.broadcast(categories.select(F.col("apiName").alias("objectApiName"), "category")), "objectApiName", "left").withColumn("score", F.col("score") * V.category_weight(F.col("category")))
+        x = x.join(bounded(categories.select(F.col("apiName").alias("objectApiName"), "category")), "objectApiName", "left").withColumn("score", F.col("score") * V.category_weight(F.col("category")))
     w = Window.partitionBy("term").orderBy(F.desc("score"), "objectApiName", "fieldApiName", "value")
     x = x.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
     return x.select("term", F.lit("picklist_value").alias("type"), F.col("score").alias("confidence"), F.format_string("%s.%s = '%s'", "objectApiName", "fieldApiName", "value").alias("filter"))
@@ -31,7 +32,7 @@ def by_object(terms: DataFrame, objects: DataFrame) -> DataFrame:
     t = terms.select("term", F.lower(F.trim("term")).alias("t")).where("t != ''")
     o = objects.select("apiName", F.lower("apiName").alias("a"), F.lower("label").alias("l"))
     score = F.when((F.col("a") == F.col("t")) | (F.col("l") == F.col("t")), 0.95).when(F.col("a") == F.concat("t", F.lit("__c")), 0.9).when(F.col("a").startswith(F.col("t")), 0.85).when(F.col("a").contains(F.col("t")), 0.7)
-    x = t.join(F.broadcast(o), score.isNotNull()).withColumn("score", score)
+    x = t.join(bounded(o), score.isNotNull()).withColumn("score", score)
     w = Window.partitionBy("term").orderBy(F.desc("score"), "apiName")
     return x.withColumn("n", F.row_number().over(w)).where("n = 1").select("term", F.lit("object_reference").alias("type"), F.col("score").alias("confidence"), F.concat(F.lit("FROM "), "apiName").alias("filter"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import DATE_PHRASES, lookup, multiplier, number_text, value_type
+from ..plans.staging import bounded
 
 _PLACE, _NAME = "([A-Za-z\\s]+)$", "\\s+(is|=|equals)\\s+([A-Za-z\\s]+)$"
 _UNIT = "(\\s*k|\\s*thousand|\\s*m|\\s*million|\\s*b|\\s*billion)?"
@@ -188,13 +189,13 @@ def needed_fields(questions: DataFrame, fields: DataFrame) -> DataFrame:
 
 def identify_objects(questions: DataFrame, objects: DataFrame, hits: DataFrame) -> DataFrame:
     """id, apiName, confidence: search hits (id, apiName, confidence) of the words, and object names in the text; most confident first."""
-    named = questions.join(F.broadcast(objects.select("apiName")), F.lower("question").contains(F.lower("apiName"))).select("id", "apiName", F.lit(0.8).alias("confidence"))
+    named = questions.join(bounded(objects.select("apiName")), F.lower("question").contains(F.lower("apiName"))).select("id", "apiName", F.lit(0.8).alias("confidence"))
     return hits.unionByName(named).groupBy("id", "apiName").agg(F.max("confidence").alias("confidence"))
 
 
 def identify_fields(questions: DataFrame, fields: DataFrame) -> DataFrame:
     q = F.lower("question")
-    return questions.join(F.broadcast(fields.select("sobjectType", "apiName", "label")), (F.col("object") == F.col("sobjectType")) & (q.contains(F.lower("apiName")) | q.contains(F.lower("label")))).select("id", "sobjectType", "apiName").distinct()
+    return questions.join(bounded(fields.select("sobjectType", "apiName", "label")), (F.col("object") == F.col("sobjectType")) & (q.contains(F.lower("apiName")) | q.contains(F.lower("label")))).select("id", "sobjectType", "apiName").distinct()
 
 
 # Child lists whose names aren't the object's with an s.

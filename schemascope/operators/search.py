@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SYNONYMS, jaccard, log_score, normalised, variants
 from ..functions.vectors import cosine
+from ..plans.staging import bounded
 
 
 def synonyms(spark) -> DataFrame:
@@ -73,11 +74,6 @@ def top_k(vectors: DataFrame, query: Column, k: int, key: str, vector: str = "em
     return x if least is None else x.where(F.col("score") >= least)
 
 
-def bounded(queries: DataFrame, most: int = 100_000) -> DataFrame:
-    """A query set marked for broadcast, if it has at most ``most`` rows; a larger one is left to Spark."""
-    return F.broadcast(queries) if queries.limit(most + 1).count() <= most else queries
-
-
 def similarity(candidates: DataFrame, vectors: DataFrame, query: Column, key: str, vector: str = "embedding", also: list[str] = ()) -> DataFrame:
     """key, score of every candidate, and its columns ``also``; 0 without a vector."""
     x = candidates.join(vectors, key, "left")
@@ -127,11 +123,11 @@ def search(objects: DataFrame, words_of: DataFrame | None, terms: DataFrame, vec
     o = objects.select(key, normalised(F.col("label")).alias("l"), normalised(F.col(key)).alias("n"), normalised(F.regexp_replace(key, "__c$", "")).alias("b"))
     t = terms.select("term", normalised(F.col("term")).alias("t"))
     # terms are few, whatever the catalog holds
-    t = F.broadcast(t)
+    t = bounded(t)
     hit = lambda on, tier, score: o.join(t, on).select("term", key, F.lit(tier).alias("tier"), F.lit(score).alias("confidence"))
     v = terms.select("term", F.explode(variants(F.col("term"))).alias("v")).distinct()
-    near = o.join(F.broadcast(v), (F.col("v") == F.col("l")) | (F.col("v") == F.col("n"))).select("term", key)
-    words = v.join(F.broadcast(words_of), F.col("v") == F.col("word")).select("term", key).join(o.select(key), key, "left_semi").select("term", key)
+    near = o.join(bounded(v), (F.col("v") == F.col("l")) | (F.col("v") == F.col("n"))).select("term", key)
+    words = v.join(bounded(words_of), F.col("v") == F.col("word")).select("term", key).join(o.select(key), key, "left_semi").select("term", key)
     found = hit(F.col("t") == F.col("l"), 0, 1.0).unionByName(hit((F.col("t") == F.col("n")) | (F.col("t") == F.col("b")), 1, 0.95)).unionByName(near.unionByName(words).distinct().select("term", key, F.lit(2).alias("tier"), F.lit(0.85).alias("confidence")))
     if vector_hits is not None:
         found = found.unionByName(vector_hits.where("score >= 0.5").select("term", key, F.lit(3).alias("tier"), F.col("score").alias("confidence")))

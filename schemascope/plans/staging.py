@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -30,20 +31,44 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet and read back: its lineage ends here, and lost
-    executors lose nothing. Deleted when the driver ends."""
+    """``df`` written as Parquet and read back.
+
+    This cuts lineage, fixes ids made by ``monotonically_increasing_id`` and
+    survives lost executors. Tables still there when the driver ends are
+    deleted then; ``release`` deletes one earlier.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/schemascope/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing lazy reads any more."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast, if it has at most ``most`` rows; a larger one is left to Spark."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _WRITTEN:
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended; the folder is the cluster's to clean
             return

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import naming, text, values, vectors
 from .operators import compare, context, graph, grounding, ingest, merge, questions, search, tagging
 from .plans.compile import Compiler
+from .plans.staging import bounded
 from .sources import catalog as C
 from .streaming import sync
 
@@ -316,7 +317,7 @@ b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text
 SELECT item_id, doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 6) AS j FROM w, b""")
 def f10(spark, sf_dir):
     # each side's words are split once: the queries' before they are broadcast, a document's before it meets them
-    asked = search.bounded(C.read(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", text.word_set(F.col("text")).alias("b")))
+    asked = bounded(C.read(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", text.word_set(F.col("text")).alias("b")))
     docs = C.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(text.word_set(F.col("text")))).alias("a"))
     return docs.crossJoin(asked).select("item_id", "doc_id", F.round(text.set_jaccard(F.col("a"), F.col("b")), 6).alias("j"))
 
@@ -349,13 +350,13 @@ def _query_vectors(spark, sf_dir):
 @query("e01_cosine", f"SELECT q.vec_id AS query, v.vec_id, round({_COS}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0")
 def e01(spark, sf_dir):
     v, q = _query_vectors(spark, sf_dir)
-    return v.crossJoin(search.bounded(q)).select("query", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return v.crossJoin(bounded(q)).select("query", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
 
 
 @query("e02_batch_similarity", f"SELECT q.vec_id AS query, v.vec_id, CASE WHEN v.label = 3 THEN 0 ELSE round({_COS}, 6) END AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0")
 def e02(spark, sf_dir):
     v, q = _query_vectors(spark, sf_dir)
-    asked = v.select("vec_id").crossJoin(search.bounded(q))
+    asked = v.select("vec_id").crossJoin(bounded(q))
     return search.similarity(asked, v.where("label != 3").select("vec_id", "embedding"), F.col("q"), "vec_id", also=["query"]).select("query", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -368,7 +369,7 @@ def e03(spark, sf_dir):
 @query("e06_scoped_top", f"SELECT query, label, vec_id FROM (SELECT q.vec_id AS query, v.label, v.vec_id, row_number() OVER (PARTITION BY q.vec_id, v.label ORDER BY {_COS} DESC, v.vec_id) AS n, {_COS} AS s FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0) WHERE n <= 5 AND s >= 0.1")
 def e06(spark, sf_dir):
     v, q = _query_vectors(spark, sf_dir)
-    out = search.scoped_fields(v.crossJoin(search.bounded(q)), F.col("q"), ["query", "label"], "vec_id", least=0.1, cap=5)
+    out = search.scoped_fields(v.crossJoin(bounded(q)), F.col("q"), ["query", "label"], "vec_id", least=0.1, cap=5)
     return out.select("query", "label", F.explode("fields").alias("vec_id")).select("query", "label", F.col("vec_id").cast("long").alias("vec_id"))
 
 
