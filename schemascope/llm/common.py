@@ -3,83 +3,22 @@ checkpoint folder and splitting text into words and word shingles."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import bounded, release  # noqa: F401  for the operators
+from ..plans.staging import staged as stage
+
 #: ASCII white space of the contracts: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-_STAGED: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where it is unset and the master is local (tests) a temporary folder
-    is made and set; on a cluster an unset folder is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if not re.match(r"local(\[|$)", context.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
-
-    This cuts lineage, fixes ids made by ``monotonically_increasing_id`` and
-    survives lost executors. Tables still there when the driver ends are
-    deleted then; ``release`` deletes one earlier.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/schemascope/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STAGED.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
 
 def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows of a few
     numbers each; a larger one is left to be shuffled."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing lazy reads any more."""
-    for df in frames:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            _delete(df.sparkSession, path)
-            _STAGED[:] = [x for x in _STAGED if x[1] != path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _STAGED:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended; the folder is the cluster's to clean
-            return
+    return bounded(df, most)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
