@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text, values
 from .operators import compare, context, graph, grounding, merge, questions, search, tagging
-from .queries import _FIELDS, _OBJECTS, _PICKS, _REFS, _sql_rows, query
+from .queries import _FIELDS, _OBJECTS, _PICKS, _REFS, query
 from .sources import catalog as C
 
 
@@ -114,7 +114,7 @@ def n04(spark, sf_dir):
     return grounding.by_object(t, C.objects(spark)).select("term", "confidence", "filter")
 
 
-@query("n06_category_weights", f"SELECT * FROM (VALUES {_sql_rows([(k, v) for k, v in values.CATEGORY_WEIGHTS.items()])}, ('other', 0.8)) t(category, w)")
+@query("n06_category_weights", "SELECT category, CAST(w AS DOUBLE) AS w FROM (VALUES ('business_core', 1.0), ('business_extended', 0.9), ('system', 0.3), ('system_derived', 0.3), ('managed_package', 0.7), ('custom_metadata', 0.4), ('platform_event', 0.2), ('external_object', 0.6), ('big_object', 0.6), ('other', 0.8)) t(category, w)")
 def n06(spark, sf_dir):
     c = spark.createDataFrame([(k,) for k in (*values.CATEGORY_WEIGHTS, "other")], "category string")
     return c.select("category", values.category_weight(F.col("category")).alias("w"))

@@ -321,7 +321,7 @@ def s12(spark, sf_dir):
     path = _written(spark, "examples")
     n = C.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("customers of "), "n_name").alias("question"))
     n.select(F.to_json(F.collect_list(F.struct("id", "question")))).write.text(path)
-    return C.read_examples(spark, path).select("id", "question")
+    return C.read_examples(spark, path).select(F.col("id").cast("int").alias("id"), "question")
 
 
 @query("s07_object_describe", _values("name, label, keyPrefix, queryable", [("Order", "Sales Order", "ord", True)]))
@@ -629,7 +629,7 @@ def f06(spark, sf_dir):
     return search.synonyms(spark).where(F.col("word").isin("deal", "ticket", "file", "line item", "team")).select("word", "apiName")
 
 
-@query("f11_cache_jaccard", _values("a, b, s", [("show all accounts", "list the accounts", 1.0), ("the", "a", 1.0), ("open deals", "me", 0.0), ("open deals owned", "deals owned", 2 / 3)], "a, b, round(s, 6) AS s"))
+@query("f11_cache_jaccard", _values("a, b, s", [("show all accounts", "list the accounts", 1.0), ("the", "a", 1.0), ("open deals", "me", 0.0), ("open deals owned", "deals owned", 2 / 3)], "a, b, CAST(round(s, 6) AS DOUBLE) AS s"))
 def f11(spark, sf_dir):
     x = spark.createDataFrame([("show all accounts", "list the accounts"), ("the", "a"), ("open deals", "me"), ("open deals owned", "deals owned")], "a string, b string")
     return x.select("a", "b", F.round(text.cache_jaccard(F.col("a"), F.col("b")), 6).alias("s"))
