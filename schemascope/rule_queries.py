@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .functions import naming, text, values
+from .functions import calls, naming, text, values
 from .operators import context, graph, grounding, ingest, merge, questions, refresh, search, store, tagging
 from .plans import edit, validate
 from .plans.compile import Compiler, Object, Records
@@ -653,6 +653,12 @@ def f19(spark, sf_dir):
     return x.select("id", text.main_object(F.col("soql")).alias("object"), F.array_join(text.with_core(F.col("c")), ",").alias("columns"))
 
 
+@query("f20_model_flags", _values("flag, provider, model", [("openai:gpt-x", "openai", "gpt-x"), ("ollama:llama:8b", "ollama", "llama:8b"), ("plain", "ollama", "small"), ("other:x", "ollama", "small"), (None, "ollama", "small")], "flag, provider, CASE WHEN model = 'small' THEN coalesce(flag, 'small') ELSE model END AS model"))
+def f20(spark, sf_dir):
+    x = spark.createDataFrame([("openai:gpt-x",), ("ollama:llama:8b",), ("plain",), ("other:x",), (None,)], "flag string")
+    return x.select("flag", calls.model_flag(F.col("flag"), "ollama", "small").alias("m")).select("flag", "m.*")
+
+
 @query("f21_display_names", _values("kind, name", [("standard", "Standard Objects"), ("custom", "Custom Objects"), ("external", "External Objects"), ("metadata_type", "Custom Metadata Types"), ("platform_event", "Platform Events"), ("system", "System Objects"), ("none", None)]))
 def f21(spark, sf_dir):
     x = spark.createDataFrame([(k,) for k in ("standard", "custom", "external", "metadata_type", "platform_event", "system", "none")], "kind string")
@@ -727,6 +733,13 @@ def e14(spark, sf_dir):
     return c.select("conv_id", "turn", F.size(e).alias("width"), (e == again).alias("same"))
 
 
+@query("e14_provider", "SELECT conv_id, turn, length(text) AS n, length(text) - length(replace(text, 'e', '')) AS e FROM conversations")
+def e14_provider(spark, sf_dir):
+    asked = calls.embedder(lambda texts: [[len(t), t.count("e")] for t in texts], batch=16)
+    v = C.read(spark, sf_dir, "conversations").select("conv_id", "turn", asked(F.col("text")).alias("v"))
+    return v.select("conv_id", "turn", F.col("v")[0].cast("long").alias("n"), F.col("v")[1].cast("long").alias("e"))
+
+
 @query("e15_prepared", f"WITH {_PICKS} SELECT 'PicklistValue' AS kind, objectApiName || '.' || fieldApiName || '.' || value AS id, sha256(value || '. on ' || objectApiName) AS contentHash FROM picks")
 def e15(spark, sf_dir):
     return store.prepare_values(C.picklists(spark, sf_dir)).select("kind", "id", "contentHash")
@@ -1028,6 +1041,32 @@ def w02(spark, sf_dir):
     return out
 
 
+@query("h02_retries", _values("id, result, waits", [(1, "done", "1,2"), (2, "gave up", "1,2"), (3, "refused", "")]))
+def h02(spark, sf_dir):
+    def run(failures: list[str]) -> tuple[str, str]:
+        left, waits = list(failures), []
+
+        def call() -> str:
+            if left:
+                raise RuntimeError(left.pop(0))
+            return "done"
+
+        try:
+            result = calls.retried(call, tries=3, first=1, sleep=waits.append)
+        except RuntimeError as e:
+            result = "gave up" if calls.may_retry(e) else "refused"
+        return result, ",".join(map(str, waits))
+
+    cases = [["ECONNRESET", "ECONNRESET"], ["ETIMEDOUT"] * 3, ["INVALID_FIELD"]]
+    return spark.createDataFrame([(i, *run(c)) for i, c in enumerate(cases, 1)], "id int, result string, waits string")
+
+
+@query("h04_retryable", _values("message, again", [("REQUEST_LIMIT_EXCEEDED: TotalRequests", True), ("read ECONNRESET", True), ("socket hang up", True), ("UNABLE_TO_LOCK_ROW", True), ("MALFORMED_QUERY", False), (None, False)]))
+def h04(spark, sf_dir):
+    x = spark.createDataFrame([("REQUEST_LIMIT_EXCEEDED: TotalRequests",), ("read ECONNRESET",), ("socket hang up",), ("UNABLE_TO_LOCK_ROW",), ("MALFORMED_QUERY",), (None,)], "message string")
+    return x.select("message", calls.retryable(F.col("message")).alias("again"))
+
+
 @query("st3_sliding", "WITH e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS b FROM events), k AS (SELECT b - i * INTERVAL 6 HOUR AS start FROM e, range(0, 4) t(i)) SELECT start, count(*) AS n FROM k GROUP BY 1")
 def st3(spark, sf_dir):
     from .streaming import sync
