@@ -214,6 +214,27 @@ def test_drop_near_keeps_one_of_each(spark, docs):
     assert kept.where("doc_id is not null").count() == len([c for c in classes if c is not None])
 
 
+def test_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six", "a"), (2, "one two three four five six", "b"), (2, "one two three four five six", "b"), (3, "quite another text than that", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumns({"__key": F.col("key"), "row": F.lit(1), "sig": F.lit(2), "cid": F.lit(3), "a.b": F.lit(4)})
+    for kept in (exact.dedup(docs), jaccard.drop_near(docs)):
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.key, r["__key"], r["a.b"]) for r in kept.collect()) == [(1, "a", "a", 4), (3, "c", "c", 4)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(rng.choice((40, 70, 130)))]
+    up = list(range(120))
+    for _ in range(120):
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    got = dict(jaccard.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {x: up[x] for x in nodes}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(jaccard.components(links).collect())
