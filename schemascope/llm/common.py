@@ -87,7 +87,7 @@ _WORDS: list[Words] = []
 def known_words() -> Words:
     """One dictionary for each worker process."""
     if not _WORDS:
-        _WORDS.append(Words(1 << 19))
+        _WORDS.append(Words(1 << 17))
     return _WORDS[0]
 
 

@@ -48,7 +48,7 @@ class Encoder:
     all words of tokenizers of another kind, go through the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1 << 17):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
