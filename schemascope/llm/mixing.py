@@ -77,7 +77,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     x = array_to_vector(F.array(*[F.array_contains("words", w).cast("double") for w in words]))
     y = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("_domain")).cast("double") - 1
     rows = stage(known.select(y.alias("label"), x.alias("features")), "vectors")
-    model = LogisticRegression(family="multinomial", regParam=penalty / n, standardization=False, maxIter=200, tol=1e-7).fit(rows)
+    model = LogisticRegression(family="multinomial", regParam=penalty / n, standardization=False, maxIter=60, tol=1e-6).fit(rows)
     weights, start = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     release(sample, rows)
     return domains, {w: [float(v) for v in weights[:, i]] for i, w in enumerate(words)}, [float(v) for v in start]
