@@ -241,6 +241,37 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_many_links(spark):
+    rng = random.Random(5)
+    links = spark.createDataFrame([(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(20)], "a long, b long")
+    assert dict(jaccard.components(links, few=0).collect()) == dict(jaccard.components(links).collect())
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup("few links", "")
+    jaccard.components(links)
+    jobs = len(context.statusTracker().getJobIdsForGroup("few links"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 6
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_near_classes_without_broadcasts(spark, docs, k, percent, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    seen, marked = [], jaccard._marked
+    monkeypatch.setattr(jaccard, "_marked", lambda wanted: seen.append(1) or marked(wanted))
+    got = jaccard.near_classes(docs, words=k, percent=percent).collect()
+    assert seen and collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near(rows_of(docs), k, percent)
+
+
+def test_marked_has_the_places_of_all_that_is_wanted(spark):
+    wanted = spark.createDataFrame([(i * 7919, -i) for i in range(300)] + [(None, 5)], "doc_id long, text_hash long")
+    places = {r[0] for r in wanted.select(jaccard._place()).collect()}
+    assert set(np.flatnonzero(np.unpackbits(jaccard._marked(wanted), bitorder="little")).tolist()) == places
+
+
 def test_sharding_law_rows(spark, docs):
     for frame in (docs, docs.limit(3), docs.limit(0)):
         got = sharding.shard(frame).collect()
