@@ -74,7 +74,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     if not words:
         return domains, {}, [math.log(sizes[d] / n) for d in domains]
     known = sample.select("_domain", F.array_intersect("words", F.array(*[F.lit(w) for w in words])).alias("words"))
-    x = array_to_vector(F.array(*[F.array_contains("words", w).cast("double") for w in words]))
+    # one lambda, not an expression for each word: the driver compiles and keeps the code
+    x = array_to_vector(F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.array_contains("words", w).cast("double")))
     y = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("_domain")).cast("double") - 1
     rows = stage(known.select(y.alias("label"), x.alias("features")), "vectors")
     model = LogisticRegression(family="multinomial", regParam=penalty / n, standardization=False, maxIter=60, tol=1e-6).fit(rows)

@@ -96,8 +96,8 @@ def ordered_rules(docs: DataFrame, rules: Mapping[str, Column], text_col: str =
     The sample is about ``sample_rows`` documents drawn from the whole input,
     copies each for itself; it sets the order alone, and the verdict doesn't
     depend on the order. Each rule runs over the sample so many times within
-    one job that it sees ``sample_rows`` documents at least, once to warm up
-    and then ``repeats`` times in turns with the others; its least time counts,
+    one job that it sees ``sample_rows`` documents at least, once to warm up,
+    all rules in one job, and then ``repeats`` times in turns with the others; its least time counts,
     less that of an empty rule. Rules whose rejection per cost is within a factor
     of ``tie`` of the best that is left go by name, so that the order repeats.
     """
@@ -113,17 +113,21 @@ def ordered_rules(docs: DataFrame, rules: Mapping[str, Column], text_col: str =
     times = -(-sample_rows // n)
     again = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(times))))
 
-    def timed(rule: Column) -> tuple[float, float]:
+    def hits(rule: Column) -> Column:
+        return F.coalesce(F.sum(F.when(rule, 1).otherwise(0)), F.lit(0))
+
+    def timed(rule: Column) -> float:
         began = time.perf_counter()
-        hits = again.agg(F.coalesce(F.sum(F.when(rule, 1).otherwise(0)), F.lit(0))).first()[0]
-        return time.perf_counter() - began, hits / (n * times)
+        again.agg(hits(rule)).first()
+        return time.perf_counter() - began
 
     every = {None: F.lit(False), **rules}
-    shares = {k: timed(rule)[1] for k, rule in every.items()}
+    # one job warms up all rules; the driver keeps the state of every job
+    shares = dict(zip(every, (x / (n * times) for x in again.agg(*[hits(rule).alias(f"r{k}") for k, rule in enumerate(every.values())]).first()), strict=True))
     seconds = dict.fromkeys(every, float("inf"))
     for _ in range(repeats):
         for k, rule in every.items():
-            seconds[k] = min(seconds[k], timed(rule)[0])
+            seconds[k] = min(seconds[k], timed(rule))
     sample.unpersist()
     cost = {k: max(0.02 * seconds[None], seconds[k] - seconds[None]) / (n * times) for k in rules}
     left, found = sorted(rules, key=lambda k: -shares[k] / cost[k]), []
