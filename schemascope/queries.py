@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import naming, text, values, vectors
+from .functions import naming, text, values
 from .operators import compare, context, graph, grounding, ingest, merge, questions, search, tagging
 from .plans.compile import Compiler
 from .plans.staging import bounded
@@ -356,8 +356,9 @@ def e01(spark, sf_dir):
 @query("e02_batch_similarity", f"SELECT q.vec_id AS query, v.vec_id, CASE WHEN v.label = 3 THEN 0 ELSE round({_COS}, 6) END AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0")
 def e02(spark, sf_dir):
     v, q = _query_vectors(spark, sf_dir)
-    asked = v.select("vec_id").crossJoin(bounded(q))
-    return search.similarity(asked, v.where("label != 3").select("vec_id", "embedding"), F.col("q"), "vec_id", also=["query"]).select("query", "vec_id", F.round("score", 6).alias("score"))
+    # rows of label 3 are candidates without a vector
+    known = v.select("vec_id", F.when(F.coalesce(F.col("label") != 3, F.lit(True)), F.col("embedding")).alias("embedding"))
+    return search.pair_scores(known, q.withColumnRenamed("q", "embedding"), "vec_id", none=0.0)
 
 
 @query("e03_top_k", f"SELECT query, vec_id, round(score, 6) AS score, CAST(n AS INTEGER) AS rank FROM (SELECT q.vec_id AS query, v.vec_id, round({_COS}, 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, v.vec_id) AS n FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND v.label <> 3) WHERE n <= 10")
