@@ -370,8 +370,7 @@ def e03(spark, sf_dir):
 @query("e06_scoped_top", f"SELECT query, label, vec_id FROM (SELECT q.vec_id AS query, v.label, v.vec_id, row_number() OVER (PARTITION BY q.vec_id, v.label ORDER BY {_COS} DESC, v.vec_id) AS n, {_COS} AS s FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0) WHERE n <= 5 AND s >= 0.1")
 def e06(spark, sf_dir):
     v, q = _query_vectors(spark, sf_dir)
-    out = search.scoped_fields(v.crossJoin(bounded(q)), F.col("q"), ["query", "label"], "vec_id", least=0.1, cap=5)
-    return out.select("query", "label", F.explode("fields").alias("vec_id")).select("query", "label", F.col("vec_id").cast("long").alias("vec_id"))
+    return search.scoped_top_each(v, q.withColumnRenamed("q", "embedding"), 5, "vec_id", "label", least=0.1).select("query", "label", "vec_id")
 
 
 @query("e08_hybrid", f"""WITH {_OBJECTS}, {_REFS}, s AS (SELECT apiName, count(DISTINCT dst) AS n, count(DISTINCT CASE WHEN dst IN ('Order', 'Part', 'Customer') THEN dst END) >= 2 AS j FROM objs LEFT JOIN refs ON src = apiName GROUP BY 1),
