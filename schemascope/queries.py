@@ -350,7 +350,7 @@ def _query_vectors(spark, sf_dir):
 @query("e01_cosine", f"SELECT q.vec_id AS query, v.vec_id, round({_COS}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0")
 def e01(spark, sf_dir):
     v, q = _query_vectors(spark, sf_dir)
-    return v.crossJoin(bounded(q)).select("query", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return search.pair_scores(v, q.withColumnRenamed("q", "embedding"), "vec_id")
 
 
 @query("e02_batch_similarity", f"SELECT q.vec_id AS query, v.vec_id, CASE WHEN v.label = 3 THEN 0 ELSE round({_COS}, 6) END AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0")
