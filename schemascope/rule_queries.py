@@ -15,7 +15,7 @@ from .operators import context, graph, grounding, ingest, merge, questions, refr
 from .plans import edit, validate
 from .plans.compile import Compiler, Object, Records
 from .plans.parser import find, is_valid, parse
-from .plans.staging import bounded, scratch_dir
+from .plans.staging import scratch_dir
 from .queries import _COS, _FIELDS, _OBJECTS, _PICKS, _REFS, AS_OF, _query_vectors, _sql_rows, query
 from .sources import catalog as C
 
@@ -689,10 +689,8 @@ def e05(spark, sf_dir):
 
 @query("e07_max_score", f"SELECT q.vec_id AS query, round(max({_COS}), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id GROUP BY 1")
 def e07(spark, sf_dir):
-    from .functions.vectors import cosine
-
     v, q = _query_vectors(spark, sf_dir)
-    scored = v.crossJoin(bounded(q)).where("vec_id != query").withColumn("score", cosine(F.col("embedding"), F.col("q")))
+    scored = search.best_scores(v, q.withColumnRenamed("q", "embedding"), "vec_id")
     return search.max_scores(scored, "query").select("query", F.round("score", 6).alias("score"))
 
 
