@@ -73,11 +73,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     words = [r["word"] for r in counts.where((df >= 3) & (df < n)).orderBy(gain.desc(), "word").limit(vocabulary).collect()]
     if not words:
         return domains, {}, [math.log(sizes[d] / n) for d in domains]
-    known = sample.select("_domain", F.array_intersect("words", F.array(*[F.lit(w) for w in words])).alias("words"))
-    # one lambda, not an expression for each word: the driver compiles and keeps the code
-    x = array_to_vector(F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.array_contains("words", w).cast("double")))
+    # one lambda, not an expression for each word: the driver compiles and keeps the code; what it uses is bound
+    # by another lambda, as the optimiser would put a column's own expression inside and evaluate it for each word
+    known = F.array(F.array_intersect("words", F.array(*[F.lit(w) for w in words])))
+    x = array_to_vector(F.element_at(F.transform(known, lambda own: F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.array_contains(own, w).cast("double"))), 1))
     y = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("_domain")).cast("double") - 1
-    rows = stage(known.select(y.alias("label"), x.alias("features")), "vectors")
+    rows = stage(sample.select(y.alias("label"), x.alias("features")), "vectors")
     model = LogisticRegression(family="multinomial", regParam=penalty / n, standardization=False, maxIter=60, tol=1e-6).fit(rows)
     weights, start = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     release(sample, rows)

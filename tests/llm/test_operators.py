@@ -533,6 +533,16 @@ def test_mixing_posteriors_on_held_out_labels(spark):
         assert abs(shares[name] - got.tokens[got.domain == name[2:]].sum() / got.tokens.sum()) < 0.06
 
 
+def test_classifier_looks_up_a_texts_words_once(spark, monkeypatch):
+    """The words a text shares with the vocabulary are found once for each text, not once for each word of the vocabulary."""
+    docs, labels = mixing_docs(spark, 200)
+    plans = []
+    monkeypatch.setattr(mixing, "stage", lambda df, name, stage=mixing.stage: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or stage(df, name))
+    mixing.fit_domains(docs, spark.createDataFrame(labels, "doc_id long, domain string"))
+    plan = dict(plans)["vectors"]
+    assert plan.count("array_intersect(") == 1 and plan.index("array_intersect(") < plan.index("lambdafunction(")
+
+
 def test_mixing_rows_keeps_clashing_columns(spark):
     docs, labels = mixing_docs(spark, 200)
     docs = docs.withColumn("_tokens", F.lit(1)).withColumn("p", F.lit("p")).withColumn("x", F.lit(3)).withColumn("row", F.lit(4))
