@@ -1,18 +1,20 @@
 """Main text of HTML pages.
 
-Two sources of evidence: the page's own markup (article, navigation, footer
-and so on), and a suffix array per host over the token streams of its pages
-outside articles, which shows the long substrings that distinct pages repeat.
-Text inside an article or main element is kept whole, because articles are
-themselves copied between pages and quote the same lines; of pages without
-one, blocks that markup doesn't call boilerplate lose the runs that at least
-three pages and a fifth of the host's pages have.
+A suffix array per host over the token streams of all its pages shows the long
+substrings that distinct pages repeat outside articles; what such a run covers
+is boilerplate. An exact check by the page's own markup (article, navigation,
+footer and so on) follows: text inside an article or main element is kept
+whole, because articles are themselves copied between pages and quote the same
+lines, and the rest of such a page goes, as most menus and adverts stand on one
+page only; of pages without one, blocks that markup doesn't call boilerplate
+lose the runs that at least three pages and a fifth of the host's pages have.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stage
+from .common import shingles, small, stage
 from .url_cascade import split_url
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*+")
@@ -193,9 +195,9 @@ def suffix_array(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def repeated(streams: list[list[int]], least: int, need: int) -> list[np.ndarray]:
+def repeated(streams: list[list[int]], least: int, need: int, counts: list[bool] | None = None) -> list[np.ndarray]:
     """For each stream, at which tokens a substring of ``least`` tokens begins
-    that at least ``need`` streams have."""
+    that at least ``need`` streams have, of those that ``counts`` names (all)."""
     if not streams:
         return []
     # a separator of its own ends each stream
@@ -203,116 +205,179 @@ def repeated(streams: list[list[int]], least: int, need: int) -> list[np.ndarray
     owner = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
     order, shared = suffix_array(joined)
     run = np.cumsum(shared < least)
-    pages = np.unique(run * len(streams) + owner[order]) // len(streams)
+    seen = run * len(streams) + owner[order]
+    if counts is not None:
+        seen = seen[np.array(counts, dtype=bool)[owner[order]]]
+    pages = np.unique(seen) // len(streams)
     begins = np.zeros(len(joined), dtype=bool)
     begins[order[(np.bincount(pages, minlength=run[-1] + 1) >= need)[run]]] = True
     ends = np.cumsum([len(s) + 1 for s in streams])
-    return [begins[e - len(s) - 1 : e - 1] for s, e in zip(streams, ends, strict=True)]
+    # a run shorter than that is the end of a stream, which no other stream has
+    return [begins[e - len(s) - 1 : e - 1] & (np.arange(len(s)) <= len(s) - least) for s, e in zip(streams, ends, strict=True)]
+
+
+def _covered(starts: np.ndarray, n: int, least: int) -> np.ndarray:
+    edge = np.zeros(n + least + 1, dtype=np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + least, -1)
+    return np.cumsum(edge)[:n] > 0
 
 
 def unique_tokens(begins: np.ndarray, sizes: list[int], least: int) -> np.ndarray:
     """Which tokens stay, of blocks of the given sizes: those of no repeated
     substring. One that reaches into a block from its neighbour counts only if
     the whole block is covered."""
-    def cover(starts: np.ndarray, n: int) -> np.ndarray:
-        edge = np.zeros(n + least + 1, dtype=np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + least, -1)
-        return np.cumsum(edge)[:n] > 0
-
-    every, at, out = cover(np.flatnonzero(begins), len(begins)), 0, np.ones(len(begins), dtype=bool)
+    every, at, out = _covered(np.flatnonzero(begins), len(begins), least), 0, np.ones(len(begins), dtype=bool)
     for n in sizes:
         if every[at : at + n].all():
             out[at : at + n] = False
         else:
             inside = np.flatnonzero(begins[at : at + n])
-            out[at : at + n] = ~cover(inside[inside + least <= n], n)
+            out[at : at + n] = ~_covered(inside[inside + least <= n], n, least)
         at += n
     return out
 
 
+def judged(regions: bytes, blocks: list[str], outside: np.ndarray, inside: np.ndarray, least: int) -> tuple[str, int]:
+    """A page's text, and how many of its tokens stand in repeated runs, from
+    where such runs begin in its tokens outside and inside articles."""
+    sizes = [block.count(" ") + 1 for block in blocks]
+    stays = unique_tokens(outside, [n for r, n in zip(regions, sizes, strict=True) if r != ARTICLE], least)
+    covered = sum(int(_covered(np.flatnonzero(x), len(x), least).sum()) for x in (outside, inside))
+    # the check by markup: an article is whole, whatever of it other pages repeat, and is all of its page's text
+    marked, at, kept = ARTICLE in regions, 0, []
+    for r, block, n in zip(regions, blocks, sizes, strict=True):
+        if r == ARTICLE:
+            kept.append(block)
+            continue
+        if r == UNKNOWN and not marked and stays[at : at + n].any():
+            kept.append(" ".join(w for w, c in zip(block.split(" "), stays[at : at + n], strict=True) if c))
+        at += n
+    return "\n".join(kept), covered
+
+
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        regions, packed = [], []
+        for page in b.column(4).to_pylist():
             blocks = blocks_of(page or "")
-            main = [t for r, t in blocks if r == ARTICLE]
-            has = any(r == ARTICLE for r, _ in blocks)
-            outside = [(r, t) for r, t in blocks if r != ARTICLE]
-            rows.append((split_url(url)[0], "\n".join(main) if has else None, [r for r, _ in outside], [t for _, t in outside]))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["page_id", "url", "host", "article", "regions", "outside"])
+            regions.append(bytes(r for r, _ in blocks))
+            packed.append(zlib.compress("\n".join(t for _, t in blocks).encode("utf-8", "surrogatepass"), 1))
+        yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(regions, pa.binary()), pa.array(packed, pa.binary())], ["page_id", "url", "host", "copy", "regions", "packed"])
 
 
-def _windows(tokens: list[str], least: int) -> list[int]:
-    words = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens]
-    return [xxhash.xxh3_64_intdigest(np.array(words[i : i + least], dtype=np.uint64).tobytes()) - (1 << 63) for i in range(len(words) - least + 1)]
+def _hosts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([split_url(u)[0] for u in b.column(1).to_pylist()], pa.string())], [*b.schema.names, "host"])
+
+
+def _opened(regions: bytes, packed: bytes) -> tuple[list[str], list[str], list[str]]:
+    """Blocks, which have no line breaks, and the tokens outside and inside articles."""
+    blocks = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if regions else []
+    split = [[], []]
+    for r, block in zip(regions, blocks, strict=True):
+        split[r == ARTICLE] += block.split(" ")
+    return blocks, *split
+
+
+def _windows(tokens: list[str], least: int, known: dict[str, int]) -> np.ndarray:
+    """A hash of each window of ``least`` tokens; ``known`` keeps those of tokens."""
+    if len(tokens) < least:
+        return np.zeros(0, dtype=np.int64)
+    if len(known) > 1 << 17:
+        known.clear()
+    for t in tokens:
+        if t not in known:
+            known[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+    return shingles(np.array([known[t] for t in tokens], dtype=np.uint64), least).view(np.int64)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 6, chunk: int = 1000, pages_least: int = 3, share: float = 0.2) -> DataFrame:
-    """page_id, url, text of every row.
+    """page_id, url, text, n_repeated of every row.
 
     Null html and pages without text give an empty text; null urls share the
     empty host. Repeated rows are distinct pages, so three of them repeat each
     other; ties don't arise. Very long pages are read whole, in time linear in
     their length. Other columns, of any name, are ignored; empty in, empty out.
 
-    On pages without an article, a run of ``least`` tokens or more goes if at
-    least ``pages_least`` pages and a ``share`` of the host's pages have it, so
-    a text that few pages share stays. A host of more than ``chunk`` pages has
-    several suffix arrays; what they can't count alone is counted by hashes of
-    token windows over all of them, so the result is that of one array. Only
-    hosts that have a page without an article need arrays.
+    Every page of every host is in a suffix array. A run of ``least`` tokens or
+    more is repeated if at least ``pages_least`` pages and a ``share`` of the
+    host's pages have it outside articles; n_repeated is how many tokens of the
+    page, its article included, stand in such runs. They leave the text of
+    pages without an article, so a text that few pages share stays. A host of
+    more than ``chunk`` pages has several suffix arrays. A run that enough of
+    its pages have must be as frequent in one of them, so each array names the
+    windows that are, and hashes of these are counted over all the host's
+    pages: the result is that of one array. Rows equal in all three columns
+    share an array.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    parsed = rows.mapInArrow(_parsed, f"page_id {kind}, url string, host string, article string, regions array<int>, outside array<string>")
-    parsed = stage(parsed.withColumn("uid", F.monotonically_increasing_id()), "parsed")
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"), F.count("article").alias("marked")).where("marked < pages").select("host", "pages", F.ceil(F.col("pages") / chunk).cast("int").alias("chunks"))
-    sizes = stage(sizes.withColumn("need", F.greatest(F.lit(pages_least), F.ceil(F.col("pages") * share)).cast("int")), "hosts")
-    streams = parsed.select("uid", "host", F.col("article").isNotNull().alias("has_article"), "regions", "outside").join(small(sizes), "host").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
+    sizes = rows.select("page_id", "url").mapInArrow(_hosts, f"page_id {kind}, url string, host string").groupBy("host").agg(F.count("*").alias("pages"))
+    need = F.greatest(F.lit(pages_least), F.ceil(F.col("pages") * share)).cast("int")
+    sizes = stage(sizes.select("host", "pages", need.alias("need"), F.ceil(F.col("pages") / chunk).cast("int").alias("chunks")), "hosts")
+    hosted = rows.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("copy"), "html").mapInArrow(_hosts, f"page_id {kind}, url string, copy long, html string, host string")
+    parsed = hosted.select("page_id", "url", "host", "copy", "html").mapInArrow(_parsed, f"page_id {kind}, url string, host string, copy long, regions binary, packed binary")
+    streams = parsed.join(small(sizes), "host").withColumn("chunk", F.pmod("copy", "chunks").cast("int")).drop("copy")
 
     def of_host(pdf: pd.DataFrame) -> pd.DataFrame:
+        several, of_all, need = pdf["chunks"].iloc[0] > 1, int(pdf["pages"].iloc[0]), int(pdf["need"].iloc[0])
         ids: dict[str, int] = {}
-        token_lists = [[t for block in x for t in block.split(" ")] for x in pdf["outside"]]
-        begins = repeated([[ids.setdefault(t, len(ids)) for t in ts] for ts in token_lists], least, int(pdf["need"].iloc[0]))
-        several = pdf["chunks"].iloc[0] > 1
-        out = []
-        for uid, host, has, regions, blocks, tokens, own in zip(pdf["uid"], pdf["host"], pdf["has_article"], pdf["regions"], pdf["outside"], token_lists, begins, strict=True):
-            if has and not several:
-                continue  # nothing of it is undecided
-            # windows that one array can't count; those of article pages are evidence for others
-            prints = _windows(tokens, least) if several else []
-            out.append((uid, host, not has, [] if has else [int(r) for r in regions], [] if has else list(blocks), [] if has else [bool(c) for c in own], list(range(len(prints))), prints))
-        return pd.DataFrame(out, columns=["uid", "host", "open", "regions", "blocks", "begins", "at", "prints"])
-
-    found = streams.groupBy("host", "chunk").applyInPandas(of_host, "uid long, host string, open boolean, regions array<int>, blocks array<string>, begins array<boolean>, at array<int>, prints array<long>")
+        known: dict[str, int] = {}
+        opened = [_opened(r, x)[1:] for r, x in zip(pdf["regions"], pdf["packed"], strict=True)]
+        # if no part of the host had a window on its share of the needed pages, all of it would have it on too few
+        here = -(-need * len(pdf) // of_all)
+        begins = repeated([[ids.setdefault(t, len(ids)) for t in ts] for pair in opened for ts in pair], least, here, [True, False] * len(pdf))
+        marks, prints, seen = [], [], set()
+        for k, (outside, _) in enumerate(opened):
+            new = {int(w) for w in _windows(outside, least, known)[begins[2 * k][: max(0, len(outside) - least + 1)]]} - seen if several else set()
+            seen |= new
+            prints.append(sorted(new))
+            marks.append(b"" if several else np.packbits(np.concatenate(begins[2 * k : 2 * k + 2])).tobytes())
+        return pdf[["page_id", "url", "host", "regions", "packed"]].assign(several=several, marks=marks, prints=prints)
+
+    found = streams.groupBy("host", "chunk").applyInPandas(of_host, f"page_id {kind}, url string, host string, regions binary, packed binary, several boolean, marks binary, prints array<long>")
     found = stage(found, "found")
-    prints = found.select("uid", "host", "open", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("uid", "host", "open", F.col("x.at").alias("at"), F.col("x.prints").alias("print"))
-    counted = prints.select("host", "print", "uid").distinct().groupBy("host", "print").agg(F.count("*").alias("n"))
-    common = counted.join(small(sizes.select("host", "need")), "host").where("n >= need").select("host", "print")
-    more = prints.where("open").join(common, ["host", "print"], "left_semi").groupBy("uid").agg(F.collect_set("at").alias("more"))
 
-    def unique_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_host(prints: DataFrame, most: int = 500_000) -> DataFrame:
+        lists = prints.groupBy("host").agg(F.collect_list("print").alias("wanted"))
+        return F.broadcast(lists) if prints.limit(most + 1).count() <= most else lists
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            of: dict[str, list[np.ndarray]] = {}
+            for host, regions, packed, wanted in zip(*[b.column(i).to_pylist() for i in range(3)], b.column(3), strict=True):
+                w = _windows(_opened(regions, packed)[1], least, known)
+                of.setdefault(host, []).append(np.unique(w[np.isin(w, wanted.values.to_numpy())]))
+            for host, lists in of.items():
+                prints, n = np.unique(np.concatenate(lists), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(prints), pa.string()), pa.array(prints, pa.int64()), pa.array(n, pa.int64())], ["host", "print", "n"])
+
+    likely = stage(found.where("several").select("host", F.explode("prints").alias("print")).distinct(), "likely")
+    counts = found.where("several").select("host", "regions", "packed").join(by_host(likely), "host").select("host", "regions", "packed", "wanted").mapInArrow(counted, "host string, print long, n long")
+    common = counts.groupBy("host", "print").agg(F.sum("n").alias("n")).join(small(sizes.select("host", "need")), "host").where("n >= need").select("host", "print")
+    common = stage(common, "common")
+
+    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for b in batches:
-            texts = []
-            for regions, blocks, begins, more in zip(*[b.column(i).to_pylist() for i in range(1, 5)], strict=True):
-                marks = np.array(begins, dtype=bool)
-                marks[list(more or ())] = True
-                words = [block.split(" ") for block in blocks]
-                stays = unique_tokens(marks, [len(w) for w in words], least)
-                at, kept = 0, []
-                for r, ws in zip(regions, words, strict=True):
-                    own = [w for w, c in zip(ws, stays[at : at + len(ws)], strict=True) if c]
-                    at += len(ws)
-                    if r == UNKNOWN and own:
-                        kept.append(" ".join(own))
-                texts.append("\n".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["uid", "runs"])
-
-    runs = found.where("open").join(more, "uid", "left").select("uid", "regions", "blocks", "begins", "more").mapInArrow(unique_runs, "uid long, runs string")
-    # articles go straight to the result; only the other pages wait for their runs
-    whole = parsed.where("article is not null").select("page_id", "url", F.col("article").alias("text"))
-    rest = parsed.where("article is null").select("uid", "page_id", "url").join(runs, "uid", "left")
-    return whole.unionByName(rest.select("page_id", "url", F.coalesce("runs", F.lit("")).alias("text")))
+            out, covered = [], []
+            for regions, packed, several, marks, wanted in zip(*[b.column(i).to_pylist() for i in range(2, 6)], b.column(6), strict=True):
+                blocks, *tokens = _opened(regions, packed)
+                if several:
+                    begins = [np.zeros(len(ts), dtype=bool) for ts in tokens]
+                    for x, ts in zip(begins, tokens, strict=True):
+                        w = _windows(ts, least, known)
+                        x[: len(w)] = np.isin(w, wanted.values.to_numpy()) if wanted.is_valid else False
+                else:
+                    n = len(tokens[0])
+                    bits = np.unpackbits(np.frombuffer(marks, dtype=np.uint8), count=n + len(tokens[1])).astype(bool)
+                    begins = [bits[:n], bits[n:]]
+                text, c = judged(regions, blocks, *begins, least)
+                out.append(text)
+                covered.append(c)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(covered, pa.int64())], ["page_id", "url", "text", "n_repeated"])
+
+    whole = found.select("page_id", "url", "host", "regions", "packed", "several", "marks").join(by_host(common), "host", "left")
+    return whole.select("page_id", "url", "regions", "packed", "several", "marks", "wanted").mapInArrow(texts, f"page_id {kind}, url string, text string, n_repeated long")

@@ -431,6 +431,32 @@ def test_html_hosts_against_brute_force(spark, chunk):
     assert got == wanted
 
 
+@pytest.mark.parametrize("chunk", [1000, 4])
+def test_html_runs_decide_where_every_page_marks_its_article(spark, chunk):
+    """Repeated tokens are counted on hosts of articles only too, against all windows; articles that hold them stay whole."""
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("abcdefgh")
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, wanted, streams = [], {}, collections.defaultdict(list)
+    for host in range(5):
+        notice, offer, copied = line(9), line(7), line(20)
+        for k in range((1, 3, 4, 15, 22)[host]):
+            around = [notice if rng.random() < 0.7 else line(8), offer if rng.random() < 0.3 else line(6)]
+            body = [line(rng.randint(1, 20)), copied, *([notice] if k == 0 else [])]
+            rows.append((len(rows), f"http://m{host}.org/{k}", f"<div>{around[0]}</div><article>{''.join(f'<p>{b}' for b in body)}</article><div class=ad>{around[1]}</div>"))
+            streams[host].append((len(rows) - 1, " ".join(around).split(), " ".join(body).split(), body))
+    for pages in streams.values():
+        windows = collections.defaultdict(set)
+        for key, outside, _, _ in pages:
+            for i in range(len(outside) - 5):
+                windows[tuple(outside[i : i + 6])].add(key)
+        for key, outside, inside, body in pages:
+            covered = [{j for i in range(len(t) - 5) if len(windows.get(tuple(t[i : i + 6]), ())) >= max(3, math.ceil(len(pages) / 5)) for j in range(i, i + 6)} for t in (outside, inside)]
+            wanted[key] = ("\n".join(body), sum(map(len, covered)))
+    got = html_runs.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), chunk=chunk)
+    assert {r.page_id: (r.text, r.n_repeated) for r in got.collect()} == wanted and sum(n > 0 for _, n in wanted.values()) > 20
+
+
 def test_suffix_array_against_sorting():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 60, 200):
