@@ -262,7 +262,7 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in b.column(4).to_pylist():
             blocks = blocks_of(page or "")
             regions.append(bytes(r for r, _ in blocks))
-            packed.append(zlib.compress("\n".join(t for _, t in blocks).encode("utf-8", "surrogatepass"), 1))
+            packed.append(zlib.compress("\n".join(t for _, t in blocks).encode("utf-8"), 1))
         yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(regions, pa.binary()), pa.array(packed, pa.binary())], ["page_id", "url", "host", "copy", "regions", "packed"])
 
 
@@ -271,9 +271,9 @@ def _hosts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([split_url(u)[0] for u in b.column(1).to_pylist()], pa.string())], [*b.schema.names, "host"])
 
 
-def _opened(regions: bytes, packed: bytes) -> tuple[list[str], list[str], list[str]]:
+def _opened(regions: bytes, text: str) -> tuple[list[str], list[str], list[str]]:
     """Blocks, which have no line breaks, and the tokens outside and inside articles."""
-    blocks = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if regions else []
+    blocks = text.split("\n") if regions else []
     split = [[], []]
     for r, block in zip(regions, blocks, strict=True):
         split[r == ARTICLE] += block.split(" ")
@@ -324,7 +324,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         several, of_all, need = pdf["chunks"].iloc[0] > 1, int(pdf["pages"].iloc[0]), int(pdf["need"].iloc[0])
         ids: dict[str, int] = {}
         known: dict[str, int] = {}
-        opened = [_opened(r, x)[1:] for r, x in zip(pdf["regions"], pdf["packed"], strict=True)]
+        lines = [zlib.decompress(x).decode("utf-8") for x in pdf["packed"]]
+        opened = [_opened(r, x)[1:] for r, x in zip(pdf["regions"], lines, strict=True)]
         # if no part of the host had a window on its share of the needed pages, all of it would have it on too few
         here = -(-need * len(pdf) // of_all)
         begins = repeated([[ids.setdefault(t, len(ids)) for t in ts] for pair in opened for ts in pair], least, here, [True, False] * len(pdf))
@@ -334,10 +335,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             seen |= new
             prints.append(sorted(new))
             marks.append(b"" if several else np.packbits(np.concatenate(begins[2 * k : 2 * k + 2])).tobytes())
-        return pdf[["page_id", "url", "host", "regions", "packed"]].assign(several=several, marks=marks, prints=prints)
+        return pdf[["page_id", "url", "host", "regions"]].assign(lines=lines, several=several, marks=marks, prints=prints)
 
-    found = streams.groupBy("host", "chunk").applyInPandas(of_host, f"page_id {kind}, url string, host string, regions binary, packed binary, several boolean, marks binary, prints array<long>")
-    found = stage(found, "found")
+    found = streams.groupBy("host", "chunk").applyInPandas(of_host, f"page_id {kind}, url string, host string, regions binary, lines string, several boolean, marks binary, prints array<long>")
+    # pages of a host lie together and repeat each other: packed by the file, not one by one
+    found = stage(found, "found", compression="zstd")
 
     def by_host(prints: DataFrame, most: int = 500_000) -> DataFrame:
         lists = prints.groupBy("host").agg(F.collect_list("print").alias("wanted"))
@@ -347,15 +349,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         known: dict[str, int] = {}
         for b in batches:
             of: dict[str, list[np.ndarray]] = {}
-            for host, regions, packed, wanted in zip(*[b.column(i).to_pylist() for i in range(3)], b.column(3), strict=True):
-                w = _windows(_opened(regions, packed)[1], least, known)
+            for host, regions, lines, wanted in zip(*[b.column(i).to_pylist() for i in range(3)], b.column(3), strict=True):
+                w = _windows(_opened(regions, lines)[1], least, known)
                 of.setdefault(host, []).append(np.unique(w[np.isin(w, wanted.values.to_numpy())]))
             for host, lists in of.items():
                 prints, n = np.unique(np.concatenate(lists), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([host] * len(prints), pa.string()), pa.array(prints, pa.int64()), pa.array(n, pa.int64())], ["host", "print", "n"])
 
     likely = stage(found.where("several").select("host", F.explode("prints").alias("print")).distinct(), "likely")
-    counts = found.where("several").select("host", "regions", "packed").join(by_host(likely), "host").select("host", "regions", "packed", "wanted").mapInArrow(counted, "host string, print long, n long")
+    counts = found.where("several").select("host", "regions", "lines").join(by_host(likely), "host").select("host", "regions", "lines", "wanted").mapInArrow(counted, "host string, print long, n long")
     common = counts.groupBy("host", "print").agg(F.sum("n").alias("n")).join(small(sizes.select("host", "need")), "host").where("n >= need").select("host", "print")
     common = stage(common, "common")
 
@@ -363,13 +365,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         known: dict[str, int] = {}
         for b in batches:
             out, covered = [], []
-            for regions, packed, several, marks, wanted in zip(*[b.column(i).to_pylist() for i in range(2, 6)], b.column(6), strict=True):
-                blocks, *tokens = _opened(regions, packed)
+            for regions, lines, several, marks, wanted in zip(*[b.column(i).to_pylist() for i in range(2, 6)], b.column(6), strict=True):
+                blocks, *tokens = _opened(regions, lines)
                 if several:
                     begins = [np.zeros(len(ts), dtype=bool) for ts in tokens]
-                    for x, ts in zip(begins, tokens, strict=True):
-                        w = _windows(ts, least, known)
-                        x[: len(w)] = np.isin(w, wanted.values.to_numpy()) if wanted.is_valid else False
+                    if wanted.is_valid:
+                        for x, ts in zip(begins, tokens, strict=True):
+                            w = _windows(ts, least, known)
+                            x[: len(w)] = np.isin(w, wanted.values.to_numpy())
                 else:
                     n = len(tokens[0])
                     bits = np.unpackbits(np.frombuffer(marks, dtype=np.uint8), count=n + len(tokens[1])).astype(bool)
@@ -379,5 +382,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 covered.append(c)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(covered, pa.int64())], ["page_id", "url", "text", "n_repeated"])
 
-    whole = found.select("page_id", "url", "host", "regions", "packed", "several", "marks").join(by_host(common), "host", "left")
-    return whole.select("page_id", "url", "regions", "packed", "several", "marks", "wanted").mapInArrow(texts, f"page_id {kind}, url string, text string, n_repeated long")
+    whole = found.select("page_id", "url", "host", "regions", "lines", "several", "marks").join(by_host(common), "host", "left")
+    return whole.select("page_id", "url", "regions", "lines", "several", "marks", "wanted").mapInArrow(texts, f"page_id {kind}, url string, text string, n_repeated long")
