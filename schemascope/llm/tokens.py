@@ -23,8 +23,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Marks that end a word and are a part of their own.
-_STOPS = frozenset({b".", b",", b";", b":", b"!", b"?"})
+#: A mark that ends a word of letters and is a part of its own.
+_STOP = re.compile(rb"[.,;:!?](?!\S)(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -42,13 +42,15 @@ class Encoder:
     """Ids by the word tokenizer's file.
 
     White space separates its words and nothing reaches across it, so the ids
-    of a text are those of its words in a row. Words seen before come from a
-    dictionary of bounded size; new ones of Latin letters are normalised and
-    split here and only the merges are left to the library; all others, and
-    all words of tokenizers of another kind, go through the library whole.
+    of a text are those of its words in a row. Words seen before come from
+    dictionaries of bounded size: when ``words`` is full it becomes ``old``,
+    from which words that come again are taken over, so that frequent ones
+    stay. New words of Latin letters are normalised and split here and only
+    the merges are left to the library; all others, and all words of
+    tokenizers of another kind, go through the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 17):
+    def __init__(self, path: str, limit: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,7 +64,7 @@ class Encoder:
             self.merge = self.tokenizer.model.tokenize
             self.letters = _byte_letters()
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.limit = limit
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -71,43 +73,50 @@ class Encoder:
                 for e in self.tokenizer.encode_batch_fast([t or "" for t in texts[at : at + 128]], add_special_tokens=False):
                     yield np.array(e.ids, dtype=np.uint32)
             return
-        get, new = self.words.get, self.new
+        new = self.new
         for t in texts:
-            words = (t or "").encode("utf-8", "surrogatepass").split()
-            found = list(map(get, words))
+            words = self.apart((t or "").encode("utf-8", "surrogatepass"))
+            found = list(map(self.words.get, words))
             try:
                 data = b"".join(found)
             except TypeError:  # some are new
                 data = b"".join([new(w) if x is None else x for w, x in zip(words, found, strict=True)])
             yield np.frombuffer(data, dtype="<u4")
 
+    @staticmethod
+    def apart(data: bytes) -> list[bytes]:
+        """Words of a text: A-Z lower-cased and closing marks apart, which spares entries,
+        but not where special tokens or combining marks may stand (H and a line below
+        aren't composed, h and a line below are)."""
+        if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
+            return data.split()
+        return _STOP.sub(rb" \g<0>", data.lower()).split()
+
     def new(self, word: bytes) -> bytes:
-        """The ids of a word, packed."""
+        """The ids of a word that wasn't in ``words``, packed."""
         found = self.words.get(word)
-        if found is not None:
-            return found
-        if len(self.words) >= self.limit:
-            self.words.clear()
-        if word.isalpha():  # ASCII letters only
-            found = self.part(word.lower().decode())
-        elif word[:-1].isalpha() and word[-1:] in _STOPS:
-            found = self.part(word[:-1].lower().decode()) + self.part(word[-1:].decode())
-        elif self.latin(text := word.decode("utf-8", "replace")):
-            found = b"".join(map(self.part, self.split(text.lower())))
-        else:
-            found = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            self.words[word] = found
+        if found is None:
+            found = self.old.get(word)
+            if found is None:
+                found = self.encoded(word)
+            if len(word) <= 64:
+                if len(self.words) >= self.limit:
+                    self.old, self.words = self.words, {}
+                self.words[word] = found
         return found
 
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= self.limit:
-                self.parts.clear()
-            shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            ids = self.parts[part] = _packed([x.id for x in self.merge(shown)])
-        return ids
+    def encoded(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if word.isalpha():  # ASCII letters only
+            return self.merged(text.lower())
+        if not self.latin(text):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        parts = [text.lower()] if text.isalpha() else self.split(text.lower())
+        return self.merged(parts[0]) if len(parts) == 1 else b"".join([self.new(p.encode()) for p in parts])
+
+    def merged(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        return _packed([x.id for x in self.merge(shown)])
 
     @staticmethod
     def latin(text: str) -> bool:

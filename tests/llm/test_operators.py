@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -616,6 +617,28 @@ def test_encoder_gives_the_librarys_ids():
             assert encode.tokenizer.encode(t or "", add_special_tokens=False).ids == x.tolist()
 
 
+def test_encoder_keeps_frequent_words_when_its_dictionary_is_full():
+    """Words that come again and again are merged once, in any case and with or without a closing mark, however many new ones pass."""
+    encode = tokens.Encoder(tokens.default_tokenizer(), limit=400)
+    names = ["".join(x) for x in itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rstvz")]
+    often, rare = names[:100], names[100:]
+    merge, merged = encode.merge, collections.Counter()
+    encode.merge = lambda part: merged.update([part]) or merge(part)
+    texts_ = [" ".join([*often, *(w.title() + "," for w in often), *rare[i : i + 50]]) for i in range(0, len(rare), 50)]
+    for t, x in zip(texts_, encode(texts_), strict=True):
+        assert encode.tokenizer.encode(t, add_special_tokens=False).ids == x.tolist()
+    assert len(encode.words) <= 400 and {merged[w] for w in often} == {1}
+
+
+def test_encoder_lower_cases_before_composing_only_where_it_is_the_same():
+    marks = ["\u0331", "\u0308", "\u030a", "\u030c", "\u0307", "\u0301", "\u0344"]
+    texts_ = [f"{a}{m}{b} Abc. {a}{b}, Z" for a in "HTWYJIEKhtwyjiek\u212a\u00c4\u00d7\u00f7" for m in marks for b in ("", "a", ".", "...", "\u00c9.", "'S.", "\u00d7.")]
+    texts_ += [t.replace(m, "") for t in texts_ for m in marks[:1]] + ["<|ENDOFTEXT|> Ab.", "A<|endoftext|>. B", "\u00e9. \u00c9; \u00f7. \u00d7, \u00bb. \u00aa. \u0178. a.\x1cB.\x0b."]
+    encode = tokens.Encoder(tokens.default_tokenizer(), limit=50)
+    for t, x in zip(texts_, encode(texts_), strict=True):
+        assert encode.tokenizer.encode(t, add_special_tokens=False).ids == x.tolist(), t
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_filters_lose_no_link(percent):
     rng = np.random.default_rng(7)
